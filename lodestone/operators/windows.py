@@ -46,3 +46,18 @@ def chunked_lag(df: DataFrame, keys: list[str], ts: str, tie: str, col: str, out
     prev = ends.select(*keys, "_chunk", F.lag("_end").over(W.partitionBy(*keys).orderBy("_chunk")).alias("_pr"))
     d = d.join(prev, [*keys, "_chunk"], "left")
     return d.withColumn(out, F.coalesce("_in", "_pr")).drop("_chunk", "_in", "_pr")
+
+
+def once_per_ttl(df: DataFrame, keys: list[str], ts: str, ttl: int) -> DataFrame:
+    """(keys, accepted): the events a key lets through when each accepted
+    event blocks the key for ``ttl`` seconds.
+
+    Works on whole seconds. Repeats within a second collapse before the
+    shuffle, so the fold sees at most one value per second of the log.
+    """
+    secs = df.groupBy(*keys).agg(F.sort_array(F.collect_set(F.unix_timestamp(ts))).alias("_s"))
+    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    fold = F.aggregate("_s", zero, lambda a, s: F.when(
+        a["last"].isNull() | (s >= a["last"] + ttl),
+        F.struct(s.alias("last"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a))
+    return secs.select(*keys, F.explode(fold["kept"]).alias("accepted"))
