@@ -181,3 +181,63 @@ PAGES = r"""pg AS (
     regexp_extract_all(html, 'href="([^"]*)"', 1) AS image_url,
     regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang
   FROM pages)"""
+
+
+def _by_lang(c: str, out: dict) -> str:
+    return "CASE " + c + "".join(f" WHEN {lit(k)} THEN {lit(v)}" for k, v in out.items()) + " END"
+
+
+POS_LANG = {"en": "noun", "fr": "verb", "de": "adjective", "es": "adverb"}
+CAT_LANG = {"en": "Education", "fr": "US City", "de": "Person", "es": "US State"}
+
+
+def named(src: str, name: str) -> str:
+    return (f"{name} AS (SELECT term, {_by_lang('category', CAT_LANG)} AS category, rank, "
+            f"{_by_lang('category', POS_LANG)} AS pos FROM {src})")
+
+
+NVOCAB = f"{VOCAB}, {named('vocab', 'nv')}"
+
+
+def asked(forms) -> str:
+    cases = []
+    for i, f in enumerate(forms):
+        parts = f.split("{q}")
+        e = lit(parts[0]) + "".join(f" || query || {lit(p)}" for p in parts[1:])
+        cases.append(f"WHEN {i} THEN {e}")
+    expr = f"CASE (length(query) + session_id) % {len(forms)} {' '.join(cases)} END"
+    return f"""{QLOG}, asked AS (SELECT query_id, session_id, {sanitize_query('q')} AS query
+  FROM (SELECT query_id, session_id, {expr} AS q FROM qlog)),
+awords AS (SELECT query_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+  FROM (SELECT query_id, {words('query')} AS w FROM asked))"""
+
+
+PREFIXES = f"""{QWORDS}, prefixes AS (
+  SELECT DISTINCT prefix FROM (SELECT word AS prefix FROM qwords UNION ALL SELECT substring(word, 1, 4) FROM qwords))"""
+
+
+def deletes(src: str, col: str, name: str) -> str:
+    """src(col) -> name(col, key): leading ten characters with up to two removed."""
+    return f"""{name}0 AS (SELECT DISTINCT {col}, substring({col}, 1, 10) AS key FROM {src}),
+{name}1 AS (SELECT DISTINCT {col}, substring(key, 1, i - 1) || substring(key, i + 1) AS key
+  FROM (SELECT {col}, key, unnest(range(1, length(key) + 1)) AS i FROM {name}0)),
+{name}2 AS (SELECT DISTINCT {col}, substring(key, 1, i - 1) || substring(key, i + 1) AS key
+  FROM (SELECT {col}, key, unnest(range(1, length(key) + 1)) AS i FROM {name}1)),
+{name} AS (SELECT * FROM {name}0 UNION SELECT * FROM {name}1 UNION SELECT * FROM {name}2)"""
+
+
+def lev(a: str, b: str) -> str:
+    """Plain distance by characters (the built-in counts bytes)."""
+    def one(e):
+        return f"translate({e}, 'ßäöüàâáçéèêëíñóúùûôîï', 'ABCDEFGHIJKLMNOPQRSTU')"
+    return f"levenshtein({one(a)}, {one(b)})"
+
+
+def near(words: str, wcol: str, terms: str) -> str:
+    """near(word, term, lev, distance): pairs within two edits, swaps counted as one."""
+    return f"""{deletes(words, wcol, 'wd')}, {deletes(terms, 'term', 'td')},
+pairs AS (SELECT DISTINCT {wcol} AS word, term FROM wd JOIN td USING (key)
+  WHERE abs(length({wcol}) - length(term)) <= 2 AND {lev(wcol, 'term')} <= 2),
+near AS (SELECT word, term, {lev('word', 'term')} AS lev, CASE WHEN {lev('word', 'term')} = 2 AND length(word) = length(term)
+   AND len(list_filter(range(1, length(word)), lambda i: substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1)
+     || substring(word, i + 2) = term)) > 0 THEN 1 ELSE {lev('word', 'term')} END AS distance FROM pairs)"""

@@ -215,3 +215,56 @@ def page_fields(t: Tables) -> DataFrame:
         X.strip(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"),
         F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1)).alias("image_url"),
         F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("lang"))
+
+
+def pos_by_language(c):
+    """Part of speech standing for each language, so that grammar rules have work to do."""
+    return (F.when(c == "en", "noun").when(c == "fr", "verb").when(c == "de", "adjective").otherwise("adverb"))
+
+
+def category_by_language(c):
+    return (F.when(c == "en", "Education").when(c == "fr", "US City").when(c == "de", "Person").otherwise("US State"))
+
+
+def named_vocabulary(t: Tables) -> DataFrame:
+    """The vocabulary with category names and parts of speech of the search domain."""
+    return vocabulary(t).withColumns({"pos": pos_by_language(F.col("category")),
+                                      "category": category_by_language(F.col("category"))})
+
+
+def named_ngrams(t: Tables, n: int) -> DataFrame:
+    return ngrams(t, n).withColumns({"pos": pos_by_language(F.col("category")),
+                                     "category": category_by_language(F.col("category"))})
+
+
+def typed_prefixes(t: Tables) -> DataFrame:
+    """Typed texts: every distinct query word and its first four letters."""
+    w = query_words(query_log(t)).select("word").distinct()
+    return (w.select(F.col("word").alias("prefix")).unionAll(w.select(F.substring("word", 1, 4).alias("prefix"))).distinct())
+
+
+def scored_questions(t: Tables) -> DataFrame:
+    return t.benchmark.select(F.col("item_id").alias("question_key"), F.col("text").alias("question"),
+                              F.length("text").cast("bigint").alias("question_score"))
+
+
+# each query is asked in one of these forms, so that signal words occur
+ASK_FORMS = [
+    "who is the first president of {q}", "best restaurants near me {q}", "cheap shoes vs expensive boots {q}",
+    "how to cook soul food {q}", "where can i find {q} in my area", "{q} hotels not far without parking",
+    "buy black owned clothing {q}", "list of top rated schools in {q}", "define {q}", "what are the newest {q} studio music songs",
+    "{q}", "is {q} or {q} better", "famous black doctors {q} reviews",
+]
+
+
+def asked_queries(t: Tables) -> DataFrame:
+    q = query_log(t)
+    n = F.pmod(F.length("query") + F.col("session_id"), F.lit(len(ASK_FORMS)))
+    out = F.lit(None).cast("string")
+    for i, form in enumerate(ASK_FORMS):
+        parts = form.split("{q}")
+        cols = [F.lit(parts[0])]
+        for p in parts[1:]:
+            cols += [F.col("query"), F.lit(p)]
+        out = F.when(n == i, F.concat(*cols)).otherwise(out)
+    return q.withColumn("query", X.sanitize_query(out))
