@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
-from lodestone.operators.windows import top_k
+from lodestone.operators.windows import spread, top_k
 from lodestone.rules import language as R
 
 PREFIX_CHARS = 10  # deletion keys are built on this many leading characters
@@ -136,23 +136,23 @@ def validate_words(words: DataFrame, best: DataFrame) -> DataFrame:
 
 # ---- fuzzy -----------------------------------------------------------------------
 
-def deletion_keys(c: Column, depth: int) -> Column:
-    """The leading characters with up to ``depth`` of them removed.
+def deletion_keys(df: DataFrame, col: str, depth: int) -> DataFrame:
+    """(col, key): the leading characters with none, one or two removed.
 
     Two words within that distance share at least one key, so an equi-join on
-    keys finds every pair.
+    keys finds every pair. Positions i < j are exploded and the rest is plain
+    substrings, which stays in generated code.
     """
-    def drop_one(s: Column) -> Column:
-        return F.when(F.length(s) > 0, F.transform(
-            F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-        ).otherwise(F.array().cast("array<string>"))
-
-    head = F.substring(c, 1, PREFIX_CHARS)
-    keys, last = F.array(head), F.array(head)
-    for _ in range(depth):
-        last = F.array_distinct(F.flatten(F.transform(last, drop_one)))
-        keys = F.concat(keys, last)
-    return F.array_distinct(keys)
+    n = F.length("_p")
+    d = spread(df.select(col).distinct(), col).withColumn("_p", F.substring(col, 1, PREFIX_CHARS))
+    if depth == 1:
+        d = d.withColumn("_i", F.lit(0))
+    else:
+        d = d.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
+    i, j = F.col("_i"), F.col("_j")
+    d = d.withColumn("_j", F.explode(F.when(i == 0, F.sequence(F.lit(0), n)).when(i < n, F.sequence(i + 1, n))))
+    head = F.when(i > 0, F.substring("_p", F.lit(1), i - 1)).otherwise("")
+    return d.select(col, F.concat(head, F.substring("_p", i + 1, j - i - 1), F.substring("_p", j + 1, n)).alias("key"))
 
 
 def near_terms(words: DataFrame, terms: DataFrame, depth: int = 2, loose: bool = False) -> DataFrame:
@@ -161,12 +161,11 @@ def near_terms(words: DataFrame, terms: DataFrame, depth: int = 2, loose: bool =
     ``loose`` also keeps pairs that only adjacent swaps bring within the
     depth (their plain distance is at most twice as large).
     """
-    w = words.select("word").distinct().select("word", F.explode(deletion_keys(F.col("word"), depth)).alias("key"))
-    t = terms.select("term").distinct().select("term", F.explode(deletion_keys(F.col("term"), depth)).alias("key"))
+    w, t = deletion_keys(words, "word", depth), deletion_keys(terms, "term", depth)
     lim = 2 * depth if loose else depth
     lev = F.levenshtein(F.col("word"), F.col("term"), lim)
-    return (w.join(t, "key").where(F.abs(F.length("word") - F.length("term")) <= depth)
-            .select("word", "term", lev.alias("lev")).where(F.col("lev") >= 0).distinct())
+    met = spread(w, "key").join(spread(t, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= depth)
+    return (met.select("word", "term", lev.alias("lev")).where(F.col("lev") >= 0).distinct())
 
 
 def swap_distance(word: Column, term: Column, lev: Column) -> Column:
@@ -182,8 +181,8 @@ def fuzzy_candidates(words: DataFrame, vocab: DataFrame, max_distance: int = 2,
     w = words.select("word").distinct().where(F.length("word") >= 3)
     near = near_terms(w, vocab, max_distance)
     tier = F.when(F.col("lev") <= 1, 1).otherwise(2)
-    best = near.groupBy("word").agg(F.min(tier).alias("tier"))
-    out = (near.join(best, "word").where(tier == F.col("tier"))
+    best = F.min(tier).over(W.partitionBy("word"))
+    out = (near.withColumn("tier", best).where(tier == F.col("tier"))
            .withColumn("distance", swap_distance(F.col("word"), F.col("term"), F.col("lev")))
            .join(vocab, "term").select("word", "term", "category", "rank", "pos", "distance"))
     if k:
@@ -241,11 +240,11 @@ def suggest(prefixes: DataFrame, vocab: DataFrame, k: int, fuzzy: bool = True, m
               .where(F.col("distance") <= max_distance).withColumn("tier", F.lit(3)).select(cols))
         found = one_per_term(found.unionByName(fz))
     names = F.create_map(F.lit(1), F.lit("exact"), F.lit(2), F.lit("prefix"), F.lit(3), F.lit("fuzzy"))
-    used = found.groupBy("prefix").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_set("tier")), lambda x: names[x]), "+").alias("tiers"))
-    top = top_k(found, ["prefix"], [F.desc("rank"), F.asc("distance"), F.asc("term")], k, rank="position")
+    # at most 1 + 3k + 2k rows per typed text, so these windows are small
+    used = F.array_join(F.transform(F.sort_array(F.collect_set("tier").over(W.partitionBy("prefix"))), lambda x: names[x]), "+")
+    top = top_k(found.withColumn("tiers", used), ["prefix"], [F.desc("rank"), F.asc("distance"), F.asc("term")], k, rank="position")
     bonus = F.least("rank", F.lit(R.MAX_RANK)) / R.MAX_RANK
-    return top.join(used, "prefix").withColumn("match_score", F.when(F.col("tier") == 1, -F.col("rank").cast("double"))
+    return top.withColumn("match_score", F.when(F.col("tier") == 1, -F.col("rank").cast("double"))
                                                .otherwise(F.col("distance") - bonus))
 
 

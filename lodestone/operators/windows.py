@@ -7,6 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` before a step that turns few bytes into much work.
+
+    Adaptive coalescing sees only the small input and would leave such a step
+    to a handful of tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of each key.
 
