@@ -108,3 +108,12 @@ UNSAFE_CATEGORIES = ["Food", "US City", "US State", "Country", "Location", "City
 INTERROGATIVES = ["who", "what", "when", "where", "why", "which", "whose", "how", "is", "are", "was", "were", "do",
                   "does", "did", "can", "could", "should", "will", "would"]
 MAX_RANK = 10_000_000
+US_STATE_ABBREV = {
+    "georgia": "GA", "florida": "FL", "texas": "TX", "california": "CA", "new york": "NY", "alabama": "AL",
+    "louisiana": "LA", "mississippi": "MS", "tennessee": "TN", "north carolina": "NC", "south carolina": "SC",
+    "virginia": "VA", "maryland": "MD", "ohio": "OH", "pennsylvania": "PA", "michigan": "MI", "illinois": "IL",
+    "missouri": "MO", "arkansas": "AR", "oklahoma": "OK", "kentucky": "KY", "west virginia": "WV", "delaware": "DE",
+    "washington": "WA", "oregon": "OR", "colorado": "CO", "arizona": "AZ", "nevada": "NV", "utah": "UT",
+    "new mexico": "NM", "massachusetts": "MA", "connecticut": "CT", "new jersey": "NJ",
+    "district of columbia": "DC", "washington dc": "DC",
+}
