@@ -104,8 +104,8 @@ SELECT query_id, pos, cand, pred, round(CASE WHEN cand = pred THEN conf * 80 WHE
   WHEN EXISTS (SELECT 1 FROM grp WHERE a = cand AND b = pred) THEN conf * 0.7 * 50 ELSE -10 END, 6) AS pos_score FROM x WHERE pred IS NOT NULL""")
 def c10(t):
     p = O.predict_pos(_valid(t))
-    x = p.select("query_id", "pos", c("pos_tag").alias("cand"), F.lead("predicted_pos").over(O.BY_POS).alias("pred"),
-                 F.lead("pos_confidence").over(O.BY_POS).alias("conf")).where(c("pred").isNotNull())
+    x = p.select("query_id", "pos", c("pos_tag").alias("cand"), F.lead("predicted_pos").over(O.by_pos()).alias("pred"),
+                 F.lead("pos_confidence").over(O.by_pos()).alias("conf")).where(c("pred").isNotNull())
     return _pos_long(x.select("query_id", "pos", "cand", "pred", F.round(O.pos_score(c("cand"), c("pred"), c("conf")), 6).alias("pos_score")))
 
 

@@ -19,7 +19,8 @@ from lodestone.operators.facets import lookup
 from lodestone.rules import language as R
 from lodestone.session import materialize
 
-BY_POS = W.partitionBy("query_id").orderBy("pos")
+def by_pos():
+    return W.partitionBy("query_id").orderBy("pos")
 
 
 # ---- pass 2 ------------------------------------------------------------------------
@@ -27,7 +28,7 @@ BY_POS = W.partitionBy("query_id").orderBy("pos")
 def predict_pos(words: DataFrame) -> DataFrame:
     """Expected part of speech of unknown words from their neighbours."""
     known = F.when(F.col("status") == "valid", F.col("pos_tag"))
-    right = F.when(F.lead("word").over(BY_POS).isNull(), "end").otherwise(F.lead(known).over(BY_POS))
+    right = F.when(F.lead("word").over(by_pos()).isNull(), "end").otherwise(F.lead(known).over(by_pos()))
 
     def rule(part: int, left: Column, right_: Column) -> Column:
         table = {f"{a or ''}|{b or ''}": v[part] for (a, b), v in R.CONTEXT_RULES.items()}
@@ -39,7 +40,7 @@ def predict_pos(words: DataFrame) -> DataFrame:
             F.when(l.isNotNull() & r.isNotNull(), rule(part, l, r)), F.when(l.isNotNull(), rule(part, l, none)),
             F.when(r.isNotNull() & (r != "end"), rule(part, none, r)), F.lit(R.DEFAULT_POS[part])))
 
-    d = words.withColumns({"_l": F.lag(known).over(BY_POS), "_r": right})
+    d = words.withColumns({"_l": F.lag(known).over(by_pos()), "_r": right})
     return d.withColumns({"predicted_pos": pick(0), "pos_confidence": pick(1)}).drop("_l", "_r")
 
 
@@ -60,7 +61,7 @@ def pos_score(candidate: Column, predicted: Column, confidence: Column) -> Colum
 
 def query_grams(words: DataFrame, sizes: list[int], word: str = "word") -> DataFrame:
     """(query_id, n, pos, gram) for every n-gram of the query."""
-    parts = [F.col(word), *[F.lead(word, i).over(BY_POS) for i in range(1, max(sizes))]]
+    parts = [F.col(word), *[F.lead(word, i).over(by_pos()) for i in range(1, max(sizes))]]
     d = words.select("query_id", "pos", *[p.alias(f"_w{i}") for i, p in enumerate(parts)])
     grams = F.array(*[F.when(F.col(f"_w{n - 1}").isNotNull(), F.struct(
         F.lit(n).alias("n"), F.concat_ws(" ", *[f"_w{i}" for i in range(n)]).alias("gram"))) for n in sizes])
@@ -135,8 +136,8 @@ def correct_pairs(words: DataFrame, bigrams: DataFrame) -> DataFrame:
     A summed distance of at most four means one word is within one edit or
     both are within two; each case is an equi-join on near words.
     """
-    nxt = F.lead("word").over(BY_POS)
-    pairs = (words.withColumns({"word2": nxt, "_s2": F.lead("status").over(BY_POS)})
+    nxt = F.lead("word").over(by_pos())
+    pairs = (words.withColumns({"word2": nxt, "_s2": F.lead("status").over(by_pos())})
              .where((F.col("status") == "unknown") & (F.col("_s2") == "unknown")).select("query_id", "pos", "word", "word2"))
     b = bigrams.select("term", F.split("term", " ")[0].alias("b1"), F.split("term", " ")[1].alias("b2"))
     uniq = pairs.select("word", "word2").distinct()
@@ -189,7 +190,7 @@ def correct_words(words: DataFrame, vocab: DataFrame, bigrams: DataFrame, trigra
     fixed = pair.select("query_id", F.posexplode(F.split("term", " ")).alias("i", "fixed"), F.col("pos").alias("p0"), F.col("dist").alias("pair_distance")) \
         .select("query_id", (F.col("p0") + F.col("i")).alias("pos"), "fixed", "pair_distance")
     w = words.join(fixed, keys, "left")
-    w = materialize(w.withColumn("right_word", F.lead(F.coalesce("fixed", "word")).over(BY_POS)), "words")
+    w = materialize(w.withColumn("right_word", F.lead(F.coalesce("fixed", "word")).over(by_pos())), "words")
     cands = materialize(score_candidates(words, vocab), "candidates")
     occ = (w.where((F.col("status") == "unknown") & F.col("fixed").isNull())
            .join(cands, ["word", "predicted_pos", "pos_confidence"]))
@@ -258,7 +259,7 @@ def split_words(words: DataFrame, best: DataFrame, min_part: int = 2) -> DataFra
 
 def merge_words(words: DataFrame, best: DataFrame) -> DataFrame:
     """Neighbours that together form a known term, one of them unknown; rows re-numbered."""
-    nxt, st = F.lead("word").over(BY_POS), F.lead("status").over(BY_POS)
+    nxt, st = F.lead("word").over(by_pos()), F.lead("status").over(by_pos())
     w = words.withColumns({"word2": nxt, "_st": st})
     may = w.where(F.col("word2").isNotNull() & ((F.col("status") == "unknown") | (F.col("_st") == "unknown")))
     hits = may.withColumn("merged", F.concat("word", "word2")).join(best.select(F.col("term").alias("merged")), "merged", "left_semi")
@@ -266,7 +267,7 @@ def merge_words(words: DataFrame, best: DataFrame) -> DataFrame:
     gone = kept.select("query_id", (F.col("pos") + 1).alias("pos"))
     rows = (words.join(gone, ["query_id", "pos"], "left_anti")
             .join(kept.select("query_id", "pos", "merged"), ["query_id", "pos"], "left"))
-    return rows.select("query_id", F.row_number().over(BY_POS).alias("new_pos"), F.coalesce("merged", "word").alias("word"),
+    return rows.select("query_id", F.row_number().over(by_pos()).alias("new_pos"), F.coalesce("merged", "word").alias("word"),
                        F.when(F.col("merged").isNotNull(), "merged").otherwise(F.col("status")).alias("status"))
 
 
