@@ -241,3 +241,30 @@ pairs AS (SELECT DISTINCT {wcol} AS word, term FROM wd JOIN td USING (key)
 near AS (SELECT word, term, {lev('word', 'term')} AS lev, CASE WHEN {lev('word', 'term')} = 2 AND length(word) = length(term)
    AND len(list_filter(range(1, length(word)), lambda i: substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1)
      || substring(word, i + 2) = term)) > 0 THEN 1 ELSE {lev('word', 'term')} END AS distance FROM pairs)"""
+
+
+FIELDS = {"primary_subject_name": 100, "document_title": 10, "entity_names": 8, "primary_keywords": 6, "secondary_subjects": 5,
+          "key_facts": 4, "semantic_keywords": 3}
+_LISTS = {"entity_names", "primary_keywords", "secondary_subjects", "key_facts", "semantic_keywords", "topic_tags"}
+
+
+def field_text(f: str) -> str:
+    return f"array_to_string({f}, ' ')" if f in _LISTS else f
+
+
+def posting_sql(fields: dict, name: str = "post") -> str:
+    parts = " UNION ALL ".join(f"SELECT document_uuid, unnest({token_set(field_text(f))}) AS token, {w} AS w FROM docs" for f, w in fields.items())
+    return f"{name} AS (SELECT token, document_uuid, CAST(sum(w) AS BIGINT) AS weight FROM ({parts}) GROUP BY 1, 2)"
+
+
+POST = posting_sql(FIELDS)
+QT = f"""qt AS (SELECT query_id, {token_set('query')} AS ts FROM qlog), qtok AS (SELECT query_id, len(ts) AS need, unnest(ts) AS token FROM qt)"""
+HITS = """hits AS (SELECT query_id, document_uuid, CAST(sum(weight) AS BIGINT) AS text_match FROM qtok JOIN post USING (token) GROUP BY 1, 2, need HAVING count(*) = need)"""
+STAR = """star AS (SELECT query_id, document_uuid, 0 AS text_match FROM qt, (SELECT document_uuid FROM docs ORDER BY authority_rank_score DESC, document_uuid LIMIT 100) WHERE len(ts) = 0)"""
+CAND = f"""{QLOG}, {DOCS}, {POST}, {QT}, {HITS}, {STAR}, cand AS (
+  SELECT query_id, c.document_uuid, text_match, row_number() OVER w AS candidate_rank FROM (SELECT * FROM hits UNION ALL SELECT * FROM star) c JOIN docs USING (document_uuid)
+  WINDOW w AS (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, c.document_uuid) QUALIFY row_number() OVER w <= 100)"""
+
+
+def dist(a: str, b: str) -> str:
+    return f"round(1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 9)"
