@@ -19,6 +19,7 @@ from lodestone.operators import vocab as V
 from lodestone.operators.facets import lookup
 from lodestone.operators.windows import top_k
 from lodestone.rules import scoring as R
+from lodestone.session import materialize
 
 CANDIDATE_CAP = 100
 
@@ -77,7 +78,8 @@ def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int = CANDIDATE_C
     documents of highest authority. ``drop_tokens`` is the number of hits below
     which trailing tokens are dropped; ``num_typos`` allows one edit per token.
     """
-    post = postings(docs) if post is None else post
+    # the index is read three times, so it is written once
+    post = materialize(postings(docs) if post is None else post, "postings")
     q = query_tokens(queries)
     variants = None
     if num_typos:
