@@ -184,9 +184,9 @@ fin AS (SELECT *, CASE WHEN has_superlative AND auth_score = 0 THEN least(b1, 0.
   row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN has_superlative AND auth_score = 0 THEN least(b1, 0.7) ELSE b1 END, 9) DESC, document_uuid) AS rank FROM sc)"""
 
 
-@query("e11_score_documents", f"WITH {FULL}, {BLEND}, {FINAL} SELECT query_id, document_uuid, {_r('blended', 11)} AS blended_score FROM fin")
+@query("e11_score_documents", f"WITH {FULL}, {BLEND}, {FINAL} SELECT query_id, document_uuid, {_r('blended + 1e-12', 9)} AS blended_score FROM fin")
 def e11(t):
-    return _scored(t).select("query_id", "document_uuid", F.round("blended_score", 11).alias("blended_score"))
+    return _scored(t).select("query_id", "document_uuid", F.round(c("blended_score") + 1e-12, 9).alias("blended_score"))
 
 
 # ranked by the text score, which the SQL can state without the order depending on the last digit
