@@ -46,15 +46,14 @@ def a02(t):
                     F.size("embedding").cast("bigint").alias("width"))
 
 
-def _vocab_json(t, extra: bool = True):
-    """The token vocabulary as JSON maps, one per first letter: {"term:<term>:<category>": {...}}."""
+def _vocab_json(t):
+    """The token vocabulary as JSON maps {"term:<term>:<category>": {...}} in 64 chunks."""
     v = M.vocabulary(t)
     entry = F.struct(F.concat_ws(":", F.lit("term"), "term", "category").alias("key"), F.struct(
         "term", c("term").alias("display"), "category", F.lit("").alias("description"), F.lit("['noun']").alias("pos"), F.lit("unigram").alias("entity_type"),
         c("rank").cast("string").alias("rank")).alias("value"))
-    # bucketed by hash, so that a map stays small however common a letter is
-    n = 64
-    return (v.groupBy((F.hash("term") % n).alias("chunk")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")))
+    # one small map per row: nothing is gathered, however large the vocabulary
+    return v.select((F.hash("term") % 64).alias("chunk"), F.to_json(F.map_from_entries(F.array(entry))).alias("value"))
 
 
 @query("a03_load_vocabulary", f"""

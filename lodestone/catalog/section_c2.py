@@ -13,7 +13,6 @@ from lodestone.sources import mapping as M
 
 c = F.col
 STOP = S.in_list(R.STOPWORDS)
-LONG = F.lit(0).cast("bigint")
 _SP = f"sp(word, pos) AS ({S.values([(w, p) for p, ws in R.POS_WORDS.items() for w in ws])})"
 
 

@@ -29,7 +29,8 @@ def documents(t: Tables, embeddings: bool = False) -> DataFrame:
          .select(
              F.col("doc_id"), F.col("doc_id").cast("string").alias("document_uuid"),
              "text", "lang", "source", "n_chars", "quality", "toxic",
-             F.coalesce(F.get(facts, F.lit(0)), F.lit("")).alias("document_title"),
+             # the first sentence, found without splitting the whole text
+             X.strip(F.regexp_extract("text", r"[^.\n]*[^.\n\s][^.\n]*", 0)).alias("document_title"),
              F.col("text").alias("document_summary"),
              F.col("lang").alias("document_data_type"),
              F.col("source").alias("document_schema"),

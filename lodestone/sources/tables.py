@@ -31,6 +31,9 @@ TABLE_DDL = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+# text tables, whose rows cost far more to process than to read
+_TEXT_KEYS = {"documents": ("doc_id",), "pages": ("page_id",), "conversations": ("conv_id", "turn")}
+
 _NTZ = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 
 
@@ -40,6 +43,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = pin_utc(spark)
         self.folder = folder.rstrip("/")
+        self._splits: dict[str, int] = {}
 
     def read(self, name: str) -> DataFrame:
         df = (self.spark.read.schema(TABLE_DDL[name])
@@ -47,7 +51,18 @@ class Tables:
         if name in _NTZ:
             c = _NTZ[name]
             df = df.withColumn(c, F.col(c).cast("timestamp"))
-        return df
+        return self._widen(df, name) if name in _TEXT_KEYS else df
+
+    def _widen(self, df: DataFrame, name: str) -> DataFrame:
+        """Spread a text table that lies in fewer splits than there are cores.
+
+        A table of many files already has more splits than cores and is left
+        as it is, so nothing is shuffled there.
+        """
+        if name not in self._splits:
+            self._splits[name] = df.rdd.getNumPartitions()
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if self._splits[name] >= cores else df.repartition(cores, *_TEXT_KEYS[name])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_DDL:
