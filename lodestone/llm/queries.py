@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import simhash
+from lodestone.llm import embed_dedup, line_dedup, sharding, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    out = sharding.shard(_documents(spark, folder).select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+                      F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_documents(spark, folder).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op9_simhash_near_dedup,)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op7_line_dedup, op9_simhash_near_dedup)}
+SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
