@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import embed_dedup, line_dedup, sharding, simhash
+from lodestone.llm import bpe, embed_dedup, line_dedup, packing, sharding, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_decode(_documents(spark, folder))
+
+
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_documents(spark, folder))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = line_dedup.dedup_lines(_documents(spark, folder).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -32,5 +40,5 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op7_line_dedup, op9_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op6_packing, op7_line_dedup, op9_simhash_near_dedup)}
 SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
