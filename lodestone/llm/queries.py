@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, embed_dedup, line_dedup, packing, sharding, simhash
+from lodestone.llm import bpe, embed_dedup, line_dedup, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(_documents(spark, folder))
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_documents(spark, folder).select("doc_id", "text")).drop("text")
+    kinds = F.transform("pii", lambda s: s["kind"])
+    number = [F.size(F.filter(kinds, F.lit(k).eqNullSafe)).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("pii", lambda s: s["kind"].isin(pii.KINDS[:4]))
+    return found.select("doc_id", *number, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_documents(spark, folder))
 
@@ -40,5 +49,9 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op6_packing, op7_line_dedup, op9_simhash_near_dedup)}
-SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL}
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(_documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op5_pii, op6_packing, op7_line_dedup, op9_simhash_near_dedup, op10_quality_rules)}
+SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL}
