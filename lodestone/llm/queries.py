@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, embed_dedup, line_dedup, packing, pii, quality, sharding, simhash
+from lodestone.llm import bpe, embed_dedup, language, line_dedup, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    out = language.identify(docs.select("doc_id", language.held_out().alias("held_out"), "text"), language.train(docs))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, folder))
 
@@ -53,5 +59,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op5_pii, op6_packing, op7_line_dedup, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op5_pii, op6_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_quality_rules)}
 SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL}
