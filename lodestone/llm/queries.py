@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, embed_dedup, language, line_dedup, packing, pii, quality, sharding, simhash
+from lodestone.llm import bpe, embed_dedup, html_extract, language, line_dedup, packing, pii, quality, sharding, simhash
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +27,12 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(_documents(spark, folder))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    out = html_extract.extract(pages.select("page_id", "url", "html"), html_extract.train(pages)).drop("html")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(_documents(spark, folder).select("doc_id", "text")).drop("text")
     kinds = F.transform("pii", lambda s: s["kind"])
@@ -59,5 +65,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op5_pii, op6_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op4_html_extraction, op5_pii, op6_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_quality_rules)}
 SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL}
