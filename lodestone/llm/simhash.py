@@ -50,13 +50,13 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, th, fp): hash of the text and its fingerprint as signed longs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fps = [fingerprint(t.as_py(), shingle, seed) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def _as_bits(fp: np.ndarray) -> np.ndarray:
@@ -242,6 +242,16 @@ def link_components(fps: DataFrame, radius: int = 3, block: int = BLOCK) -> Data
     return out
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, th, fp), and for each fingerprint its group: fp, root, component_id."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-classes")
+    roots = link_components(classes.select("fp"), radius, block)
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows, stored(rooted.join(least, "root").select("fp", "root", "component_id"), "fp-components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42,
                     radius: int = 3, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
@@ -253,10 +263,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null only if no row there has an id. An empty table gives an empty table.
     Other columns are not read.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fp-classes")
-    roots = link_components(classes.select("fp"), radius, block)
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = stored(rooted.join(least, "root").select("fp", "component_id"), "fp-components")
+    rows, by_fp = _grouped(docs, id_col, text_col, shingle, seed, radius, block)
     return rows.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42,
+                      radius: int = 3, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: the smallest id, then the smallest text hash.
+
+    A null id comes last. Of rows that repeat id and text one stays. An empty
+    table gives an empty table.
+    """
+    rows, by_fp = _grouped(docs, id_col, text_col, shingle, seed, radius, block)
+    last = F.lit(2**63 - 1)
+    first = rows.join(by_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("th").alias("_th"))).alias("k"))
+    own = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), last), "_th": F.xxhash64(text_col)})
+    return own.join(first.select("k.*").distinct(), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
