@@ -29,7 +29,7 @@ from lodestone.llm.packing import byte_of_char
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose encodings a task keeps; it starts afresh beyond.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 PAIRS_KEPT = 2_000_000
 #: The last byte of a word is a symbol of its own.
 WORD_END = 0x100
@@ -123,27 +123,30 @@ class WordBpe:
 
     def encode_symbols(self, s: str) -> list[int]:
         at: list[list[tuple[int, int]]] = [[] for _ in s]
-        for end, (n, i) in self.automaton.iter(s):
-            at[end - n + 1].append((n, i))
-        for found in at:
-            found.sort(reverse=True)
-        tokens, starts, tries, dead, pos, k = [], [], [], set(), 0, 0
-        while pos < len(s):
-            while k < len(at[pos]):
-                n, i = at[pos][k]
-                k += 1
-                if pos + n not in dead and (not tokens or self.compatible(tokens[-1], i)):
-                    tokens.append(i)
-                    starts.append(pos)
-                    tries.append(k)
-                    pos, k = pos + n, 0
-                    break
+        for end, found in self.automaton.iter(s):  # by rising end, so each list is by rising length
+            at[end + 1 - found[0]].append(found)
+        tokens, places, dead, pos, last, size = [], [], set(), 0, None, len(s)
+        known = self.pairs.get
+        while pos < size:
+            found = at[pos]  # tokens that are tried leave the list; a place is entered once
+            while found:
+                n, i = found.pop()
+                if pos + n in dead:
+                    continue
+                if last is not None:
+                    fits = known((last, i))
+                    if not (self.compatible(last, i) if fits is None else fits):
+                        continue
+                tokens.append(i)
+                places.append(pos)
+                pos, last = pos + n, i
+                break
             else:
                 dead.add(pos)
                 if not tokens:
                     raise ValueError("a symbol is not in the vocabulary")
                 tokens.pop()
-                pos, k = starts.pop(), tries.pop()
+                pos, last = places.pop(), tokens[-1] if tokens else None
         return tokens
 
     def decode(self, ids: list[int]) -> str:
