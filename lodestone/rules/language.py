@@ -68,10 +68,32 @@ W_DISTANCE, W_KEYBOARD, W_POS_MATCH, W_POS_NEAR = 100, 30, 80, 50
 W_BIGRAM, W_TRIGRAM, W_FREQUENCY, POS_PENALTY = 120, 150, 0.01, -10
 MAX_DISTANCE, MAX_PAIR_DISTANCE, SUGGESTION_LIMIT = 2, 4, 20
 KEY_NEIGHBOURS = {
-    "q": "was", "w": "qeasd", "e": "wrsdf", "r": "etdfg", "t": "ryfgh", "y": "tughj", "u": "yihjk",
-    "i": "uojkl", "o": "ipkl", "p": "ol", "a": "qwszx", "s": "qweadzxc", "d": "wersfxcv", "f": "ertdgcvb",
-    "g": "rtyfhvbn", "h": "tyugjbnm", "j": "yuihknm", "k": "uiojlm", "l": "iopk", "z": "asx", "x": "asdzc",
-    "c": "sdfxv", "v": "dfgcb", "b": "fghvn", "n": "ghjbm", "m": "hjkn",
+    "q": ["w", "a", "s"],
+    "w": ["q", "e", "a", "s", "d"],
+    "e": ["w", "r", "s", "d", "f"],
+    "r": ["e", "t", "d", "f", "g"],
+    "t": ["r", "y", "f", "g", "h"],
+    "y": ["t", "u", "g", "h", "j"],
+    "u": ["y", "i", "h", "j", "k"],
+    "i": ["u", "o", "j", "k", "l"],
+    "o": ["i", "p", "k", "l"],
+    "p": ["o", "l"],
+    "a": ["q", "w", "s", "z", "x"],
+    "s": ["q", "w", "e", "a", "d", "z", "x", "c"],
+    "d": ["w", "e", "r", "s", "f", "x", "c", "v"],
+    "f": ["e", "r", "t", "d", "g", "c", "v", "b"],
+    "g": ["r", "t", "y", "f", "h", "v", "b", "n"],
+    "h": ["t", "y", "u", "g", "j", "b", "n", "m"],
+    "j": ["y", "u", "i", "h", "k", "n", "m"],
+    "k": ["u", "i", "o", "j", "l", "m"],
+    "l": ["i", "o", "p", "k"],
+    "z": ["a", "s", "x"],
+    "x": ["a", "s", "d", "z", "c"],
+    "c": ["s", "d", "f", "x", "v"],
+    "v": ["d", "f", "g", "c", "b"],
+    "b": ["f", "g", "h", "v", "n"],
+    "n": ["g", "h", "j", "b", "m"],
+    "m": ["h", "j", "k", "n"],
 }
 TYPO_NEIGHBOURS = {
     "q": "wa", "w": "qeas", "e": "wrds", "r": "etdf", "t": "ryfg", "y": "tugh", "u": "yihj", "i": "uojk",
