@@ -45,7 +45,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     rows = docs.select(*(c for c in docs.columns if c.lower() not in ("shard", "slot")))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    buckets = max(1, -(-total // bucket_bytes))
+    # at least a bucket for each shuffle partition, so that a small table is not left to a few tasks
+    buckets = max(1, -(-total // bucket_bytes), min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     mixed = scatter_and_permute(rows, buckets, seed, [id_col])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = mixed.groupBy("_bucket").count().select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
