@@ -12,6 +12,7 @@ import time
 from collections import Counter
 from collections.abc import Callable
 from functools import cached_property
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,6 +82,11 @@ class Features:
     def n_lower(self) -> int:
         return sum(map(self.text.count, "abcdefghijklmnopqrstuvwxyz"))
 
+    @cached_property
+    def n_stutter(self) -> int:
+        """Words equal to the word before."""
+        return sum(map(eq, self.words, self.words[1:]))
+
     @cached_property
     def n_distinct(self) -> int:
         return len(set(self.words))
@@ -103,6 +109,7 @@ RULES: dict[str, Callable[[Features], bool]] = {
     "marks": lambda f: 4 * f.n_marks > f.n_words,
     "shouting": lambda f: f.n_upper > f.n_lower,
     "duplicate_lines": lambda f: 2 * f.n_dup_lines > len(f.lines),
+    "stutter": lambda f: 10 * f.n_stutter > 3 * f.n_words,
     "few_distinct_words": lambda f: f.n_words <= 2000 and 20 * f.n_distinct < f.n_words,
 }
 
@@ -173,11 +180,12 @@ f AS (
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
          length(text) - length(translate(text, '!?', '')) AS marks, length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper,
-         length(text) - length(translate(text, 'abcdefghijklmnopqrstuvwxyz', '')) AS lower, len(list_distinct(words)) AS n_distinct
+         length(text) - length(translate(text, 'abcdefghijklmnopqrstuvwxyz', '')) AS lower, len(list_distinct(words)) AS n_distinct,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS stutter
   FROM w LEFT JOIN repeated ON repeated.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * marks > n_words
-            OR upper > lower OR 2 * n_dup_lines > n_lines OR (n_words <= 2000 AND 20 * n_distinct < n_words)) AS kept
+            OR 10 * stutter > 3 * n_words OR upper > lower OR 2 * n_dup_lines > n_lines OR (n_words <= 2000 AND 20 * n_distinct < n_words)) AS kept
 FROM b
 """

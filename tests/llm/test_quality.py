@@ -28,7 +28,7 @@ def test_features(text):
 
 def test_rows(spark):
     clean = " ".join(f"word{k} goes on" for k in range(40)) + "."
-    rows = [(1, clean), (2, None), (3, ""), (4, "und " * 300), (5, clean.upper()), (6, " | ".join(clean.split())), (7, clean.replace(" ", "!! ")), (8, "x" * 100000), (None, clean), (1, clean), (9, "few words")]
+    rows = [(1, clean), (2, None), (3, ""), (4, "und " * 300), (5, clean.upper()), (6, " | ".join(clean.split())), (7, clean.replace(" ", "!! ")), (8, "x" * 100000), (None, clean), (1, clean), (9, "few words"), (10, "".join(f"w{k} " * 7 for k in range(40)))]
     df = spark.createDataFrame([(i, t, "a", 3) for i, t in rows], "doc_id long, text string, kept string, n_words int")
     got = {(r.doc_id, r.n_words): r for r in Q.judge(df).collect()}
     assert sorted(k[0] or 0 for k, r in got.items() if r.kept) == [0, 1]
