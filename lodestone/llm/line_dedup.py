@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.store import discard, new_path, stored
+from lodestone.llm.store import discard, free_names, new_path, stored
 
 BATCHES = 4
 FANOUT = 2
@@ -106,15 +106,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines.write.partitionBy("_batch").parquet(path)
     lines = docs.sparkSession.read.schema(lines.schema).parquet(path)
     gone = _repeated(lines, batches, fanout)
+    i, t, h, g = free_names(docs, "_id", "_t", "_th", "_gone")
     dropped = (lines.join(gone, ["_batch", *HASH]).where(F.col("_first").isNull() | (F.col("_id") > F.col("_first")))
-               .groupBy("_id", "_th").agg(F.collect_set("_pos").alias("_gone")))
-    n, split = F.size(F.split("_t", "\n")), F.split("_t", "\n")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda k: F.get(split, k)), "\n")
+               .groupBy(F.col("_id").alias(i), F.col("_th").alias(h)).agg(F.collect_set("_pos").alias(g)))
+    split = F.split(t, "\n")
+    n = F.size(split)
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col(g)), lambda k: F.get(split, k)), "\n")
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    own = docs.select(*keep, ident.alias("_id"), text.alias("_t"), F.xxhash64(text).alias("_th"))
-    return (own.join(dropped, ["_id", "_th"], "left")
-            .select(*(F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in keep),
-                    n.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped")))
+    own = docs.select(*keep, ident.alias(i), text.alias(t), F.xxhash64(text).alias(h))
+    return (own.join(dropped, [i, h], "left")
+            .select(*(F.when(F.col(g).isNull(), F.col(t)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in keep),
+                    n.cast("long").alias("n_lines"), F.coalesce(F.size(g), F.lit(0)).cast("long").alias("n_dropped")))
 
 
 SQL = r"""

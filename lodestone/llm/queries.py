@@ -66,4 +66,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op4_html_extraction, op5_pii, op6_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_quality_rules)}
-SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL}
+SQL: dict[str, str] = {"op1_embedding_near_dedup": embed_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL}

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components, forest
-from lodestone.llm.store import discard, stored
+from lodestone.llm.store import discard, free_names, stored
 
 BITS = 64
 #: Fingerprints of one key that are compared in one go; a key with more is dealt out as pairs of blocks.
@@ -276,6 +276,7 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows, by_fp = _grouped(docs, id_col, text_col, shingle, seed, radius, block)
     last = F.lit(2**63 - 1)
-    first = rows.join(by_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("th").alias("_th"))).alias("k"))
-    own = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), last), "_th": F.xxhash64(text_col)})
-    return own.join(first.select("k.*").distinct(), ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select(*docs.columns)
+    i, h = free_names(docs, "_id", "_th")
+    first = rows.join(by_fp.select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", last).alias(i), F.col("th").alias(h))).alias("k"))
+    own = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), last), h: F.xxhash64(text_col)})
+    return own.join(first.select("k.*").distinct(), [i, h]).dropDuplicates([i, h]).select(*docs.columns)

@@ -31,7 +31,7 @@ def rows():
 
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (4, 2), (7, 3)])
 def test_against_brute_force(spark, batches, fanout):
-    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows()], "doc_id long, text string, n_lines int, _pos string")
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows()], "doc_id long, text string, n_lines int, _id string")
     got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in L.dedup_lines(df, batches=batches, fanout=fanout).collect()]
     assert sorted(map(str, got)) == sorted(map(str, brute(rows())))
 

@@ -53,7 +53,7 @@ def test_whole_operator_against_brute_force(spark):
 
 def test_one_of_each_group(spark):
     rows = [(k, t, "x", 1) for k, t in enumerate(TEXTS)] + [(3, "one", "y", 2), (3, "quite another text", "z", 0), (None, "some text without id", None, None), (0, None, "again", 5)]
-    got = sorted((str(r.doc_id), r.text) for r in S.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, fp string, part int")).collect())
+    got = sorted((str(r.doc_id), r.text) for r in S.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string, _id string, _TH int")).collect())
     comp = brute_components({k: brute_fp(t) for k, t in enumerate(TEXTS)})
     want = [(str(k), t) for k, t in enumerate(TEXTS) if comp[k] == k] + [("3", "quite another text"), ("None", "some text without id")]
     assert [g[0] for g in got] == sorted(w[0] for w in want) and {g[1] for g in got} <= {w[1] for w in want} | {"one"}
