@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import language, line_dedup, packing, pii, simhash
-from lodestone.llm.store import stored
+from lodestone.llm.store import free_names, stored
 
 
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
@@ -24,8 +24,9 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told (no letter at all, or no text); fills in a missing ``lang``."""
-    found = language.identify(docs, language.train(docs), into=("_lang", "_score")).where(F.col("_lang") != language.UNDETERMINED)
-    return found.select(*(F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    lang, score = free_names(docs, "_lang", "_score")
+    found = language.identify(docs, language.train(docs), into=(lang, score)).where(F.col(lang) != language.UNDETERMINED)
+    return found.select(*(F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in brackets in the place of personal data."""
-    found = pii.find(docs, into="_pii")
-    return _with_text(found.withColumn("text", pii.redacted(F.col("text"), F.col("_pii"))), docs.columns, F.col("text"))
+    (into,) = free_names(docs, "_pii")
+    found = pii.find(docs, into=into)
+    return _with_text(found.withColumn("text", pii.redacted(F.col("text"), F.col(into))), docs.columns, F.col("text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
