@@ -91,9 +91,9 @@ def b06(t):
 
 
 @query("b07_normalize_query", f"""
-SELECT conv_id, turn, {S.normalize_query('text')} AS query_normalized FROM conversations""")
+SELECT conv_id, turn, substring({S.normalize_query('text')}, 1, {R.MAX_QUERY_LENGTH}) AS query_normalized FROM conversations""")
 def b07(t):
-    return t.conversations.select("conv_id", "turn", X.normalize_query(c("text")).alias("query_normalized"))
+    return t.conversations.select("conv_id", "turn", X.normalize_query(c("text"), cap=R.MAX_QUERY_LENGTH).alias("query_normalized"))
 
 
 @query("b08_query_hashes", f"""

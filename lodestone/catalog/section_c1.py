@@ -213,7 +213,18 @@ def c30(t):
     return O.typo_candidates(_words(t), M.vocabulary(t), full=False)
 
 
-@query("c30_typo_candidates_full")
+_KEYS = S.values([(k, x) for k, v in R.TYPO_NEIGHBOURS.items() for x in v])
+_VOWELS = S.values([(k, x) for k in "aeiou" for x in "aeiou" if x != k])
+
+
+@query("c30_typo_candidates_full", f"""
+WITH {S.QWORDS}, {S.VOCAB}, w AS (SELECT DISTINCT word FROM qwords WHERE length(word) >= 2), spots AS (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM w),
+put(was, new) AS ({_KEYS} UNION {_VOWELS}), letters AS (SELECT chr(CAST(97 + unnest(range(0, 26)) AS INTEGER)) AS l), x AS (
+  SELECT word, substring(word, 1, i - 1) || substring(word, i + 1) AS candidate FROM spots WHERE i <= length(word)
+  UNION SELECT word, substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2) FROM spots WHERE i < length(word)
+  UNION SELECT word, substring(word, 1, i - 1) || new || substring(word, i + 1) FROM spots JOIN put ON was = substring(word, i, 1) WHERE i <= length(word)
+  UNION SELECT word, substring(word, 1, i - 1) || l || substring(word, i) FROM spots, letters)
+SELECT DISTINCT word, candidate FROM x WHERE candidate IN (SELECT term FROM vocab)""")
 def c30_full(t):
     return O.typo_candidates(_words(t), M.vocabulary(t))
 

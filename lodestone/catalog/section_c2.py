@@ -68,7 +68,7 @@ t{n} AS (SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST(NULL AS VARCHAR) AS gra
 
 
 @query("c04_classify_queries", f"""
-WITH RECURSIVE {S.QWORDS}, {S.NVOCAB}, {S.ngrams(2, 'bi')}, {S.ngrams(3, 'tri')}, {S.ngrams(4, 'quad')}, {_greedy('qwords', {2: 'bi', 3: 'tri', 4: 'quad'}, 'ng')},
+WITH RECURSIVE {S.QWORDS}, {S.NVOCAB}, {S.ngrams(2, 'bi', 2)}, {S.ngrams(3, 'tri', 2)}, {S.ngrams(4, 'quad', 2)}, {_greedy('qwords', {2: 'bi', 3: 'tri', 4: 'quad'}, 'ng')},
 al AS (SELECT * FROM bi UNION ALL SELECT * FROM tri UNION ALL SELECT * FROM quad),
 nn AS (SELECT query_id, ng.pos, gram AS term, {S._by_lang('category', S.CAT_LANG)} AS category, CASE n WHEN 2 THEN 'bigram' WHEN 3 THEN 'trigram' ELSE 'quadgram' END AS kind
   FROM ng JOIN al ON gram = al.term),
@@ -167,7 +167,7 @@ def c15(t):
     return m.withColumn("new_pos", c("new_pos").cast("bigint"))
 
 
-_NG = f"{S.ngrams(2, 'bi')}, {S.ngrams(3, 'tri')}, al AS (SELECT * FROM bi UNION ALL SELECT * FROM tri)"
+_NG = f"{S.ngrams(2, 'bi', 2)}, {S.ngrams(3, 'tri', 2)}, al AS (SELECT * FROM bi UNION ALL SELECT * FROM tri)"
 _NGC = f"""ngc AS (SELECT query_id, n, ng.pos, gram, {S._by_lang('category', S.CAT_LANG)} AS category, rank FROM ng JOIN al ON gram = al.term)"""
 
 

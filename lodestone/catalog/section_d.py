@@ -13,6 +13,7 @@ from lodestone.functions import text as X
 from lodestone.operators import retrieve as O
 from lodestone.rules import fixed as RF
 from lodestone.rules import scoring as R
+from lodestone.session import materialize
 from lodestone.sources import mapping as M
 
 c = F.col
@@ -27,10 +28,22 @@ def d01(t):
     return _rank(O.keyword_candidates(M.query_log(t), M.documents(t)), "candidate_rank")
 
 
-# one edit in any token: too many token pairs for plain SQL, checked by brute force in the tests
-@query("d02_typo_candidates")
+def _cut(src, col):
+    """Each word with none or one of its characters left out."""
+    return f"SELECT {col}, {col} AS key FROM {src} UNION SELECT {col}, substring({col}, 1, i - 1) || substring({col}, i + 1) FROM (SELECT {col}, unnest(range(1, length({col}) + 1)) AS i FROM {src})"
+
+
+# one edit in any token; of several variants of a token the one of the largest weight counts
+@query("d02_typo_candidates", f"""
+WITH {S.QLOG}, {S.DOCS}, {S.POST}, {S.QT}, {S.STAR}, ask AS (SELECT DISTINCT token FROM qtok), idx AS (SELECT DISTINCT token AS alt FROM post),
+ak AS ({_cut('ask', 'token')}), ik AS ({_cut('idx', 'alt')}),
+va AS (SELECT DISTINCT token, alt FROM ak JOIN ik USING (key) WHERE abs(length(token) - length(alt)) <= 1 AND {S.lev('token', 'alt')} <= 1),
+hw AS (SELECT query_id, document_uuid, need, q.token, max(weight) AS w FROM qtok q JOIN va ON q.token = va.token JOIN post ON post.token = alt GROUP BY 1, 2, 3, 4),
+al AS (SELECT query_id, document_uuid, CAST(sum(w) AS BIGINT) AS text_match FROM hw GROUP BY query_id, document_uuid, need HAVING count(*) = need UNION ALL SELECT * FROM star)
+SELECT query_id, document_uuid, text_match, row_number() OVER (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, document_uuid) AS candidate_rank
+FROM al JOIN docs USING (document_uuid)""")
 def d02(t):
-    return O.keyword_candidates(M.query_log(t), M.documents(t), num_typos=1)
+    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), num_typos=1), "candidate_rank")
 
 
 _ORD = S.token_list("query")
@@ -46,41 +59,54 @@ ct AS (SELECT query_id, m, n, count(*) AS c FROM ph GROUP BY 1, 2, 3),
 pick AS (SELECT query_id, CASE WHEN max(m) FILTER (c >= 2) IS NOT NULL THEN max(m) FILTER (c >= 2) WHEN max(n) = 1 THEN max(m) ELSE coalesce(min(m) FILTER (m < n), NULL) END AS m FROM ct GROUP BY 1),
 al AS (SELECT query_id, document_uuid, text_match FROM ph JOIN pick USING (query_id, m) UNION ALL SELECT * FROM star)
 SELECT query_id, document_uuid, text_match, row_number() OVER w AS candidate_rank FROM al JOIN docs USING (document_uuid)
-WINDOW w AS (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, document_uuid) QUALIFY row_number() OVER w <= 100""")
+WINDOW w AS (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, document_uuid)""")
 def d03(t):
     return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), drop_tokens=2), "candidate_rank")
 
 
-_META = ["document_data_type", "document_category", "document_schema", "primary_subject_name", "primary_subject_confidence", "authority_rank_score"]
+_META = ["document_data_type", "document_category", "document_schema", "document_title", "primary_subject_name", "primary_subject_type", "primary_subject_confidence",
+         "document_summary", "content_depth_score", "authority_rank_score", "word_count"]
+_META_LISTS = ["secondary_subjects", "entity_names", "primary_keywords", "key_facts", "topic_tags", "semantic_keywords"]
 
 
 @query("d04_keyword_with_metadata", f"""
-WITH {S.CAND} SELECT query_id, candidate_rank, document_uuid, {', '.join(_META)} FROM cand JOIN docs USING (document_uuid)""")
+WITH {S.CAND} SELECT query_id, candidate_rank, document_uuid, {', '.join(x for x in _META if x != 'document_summary')}, md5(document_summary) AS document_summary,
+  {', '.join(f"md5(array_to_string({x}, '|')) AS {x}" for x in _META_LISTS if x != 'primary_keywords')}, md5(array_to_string(list_sort(primary_keywords), '|')) AS primary_keywords
+FROM cand JOIN docs USING (document_uuid)""")
 def d04(t):
     d = M.documents(t)
-    r = O.attach_metadata(O.keyword_candidates(M.query_log(t), d), d, _META)
-    return _rank(r.select("query_id", "candidate_rank", "document_uuid", *_META), "candidate_rank")
+    r = O.attach_metadata(O.keyword_candidates(M.query_log(t), d), d)
+    # long texts and lists are compared by their hashes
+    lists = [F.md5(F.array_join(F.array_sort(x) if x == "primary_keywords" else x, "|")).alias(x) for x in _META_LISTS]
+    return _rank(r.select("query_id", "candidate_rank", "document_uuid", *[F.md5(x).alias(x) if x == "document_summary" else c(x) for x in _META], *lists), "candidate_rank")
 
 
 # suppliers asked for by place: a request per customer nation, for the nation or its region
 @query("d05_place_filters", """
-WITH sup AS (SELECT s_suppkey, n_name AS city, r_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'business' ELSE 'place' END AS dtype
+WITH sup AS (SELECT s_suppkey, n_name AS city, r_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'business' ELSE 'place' END AS dtype, 'cat' || (s_suppkey % 3) AS category
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 req AS (SELECT n_nationkey AS rid, n_name AS city, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT CAST(rid AS VARCHAR) AS query_id, CAST(s_suppkey AS VARCHAR) AS document_uuid FROM req JOIN sup
-ON (CASE rid % 3 WHEN 0 THEN sup.city = req.city WHEN 1 THEN sup.state = req.state ELSE true END) AND (rid % 2 = 1 OR dtype = 'business')
-WHERE s_suppkey % 25 = rid""")
+ON (CASE rid % 3 WHEN 0 THEN sup.city = req.city WHEN 1 THEN sup.state = req.state ELSE rid % 5 = s_suppkey % 5 OR dtype = 'business' END)
+  AND (rid % 2 = 1 OR dtype = 'business') AND (rid % 4 <> 1 OR category = 'cat1')""")
 def d05(t):
     place = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
-    sup = t.supplier.join(place, c("s_nationkey") == c("n_nationkey")).select(
-        (c("s_suppkey") % 25).cast("string").alias("query_id"), c("s_suppkey").cast("string").alias("document_uuid"),
-        c("n_name").alias("location_city"), c("r_name").alias("location_state"),
-        F.when(c("s_suppkey") % 2 == 0, "business").otherwise("place").alias("document_data_type"))
     rid, none = c("n_nationkey"), F.array().cast("array<string>")
+    sup = t.supplier.join(place, c("s_nationkey") == rid).select(
+        "s_suppkey", c("n_name").alias("location_city"), c("r_name").alias("location_state"),
+        F.when(c("s_suppkey") % 2 == 0, "business").otherwise("place").alias("document_data_type"), F.concat(F.lit("cat"), c("s_suppkey") % 3).alias("document_category"))
     prof = place.select(rid.cast("string").alias("query_id"), F.when(rid % 3 == 0, F.array("n_name")).otherwise(none).alias("cities"),
                         F.when(rid % 3 == 1, F.array("r_name")).otherwise(none).alias("state_variants"),
-                        (rid % 3 != 2).alias("filters_place"), F.when(rid % 2 == 0, "business").alias("required_type"))
-    return O.apply_filters(sup, prof).select("query_id", "document_uuid")
+                        (rid % 3 != 2).alias("filters_place"), F.when(rid % 2 == 0, "business").alias("required_type"),
+                        F.when(rid % 4 == 1, F.array(F.lit("cat1"))).otherwise(none).alias("chosen_category"))
+    # each request meets the suppliers of its place; a request without a place, those of its number and all businesses
+    key = F.when(rid % 3 == 0, F.array(F.concat(F.lit("c"), "n_name"))).when(rid % 3 == 1, F.array(F.concat(F.lit("s"), "r_name"))) \
+        .otherwise(F.array(F.concat(F.lit("n"), rid % 5), F.lit("b")))
+    keys = F.array(F.concat(F.lit("c"), "location_city"), F.concat(F.lit("s"), "location_state"), F.concat(F.lit("n"), c("s_suppkey") % 5),
+                   F.when(c("document_data_type") == "business", "b"))
+    req = place.select(rid.cast("string").alias("query_id"), F.explode(key).alias("key"))
+    cand = req.join(sup.withColumn("key", F.explode(F.array_compact(keys))), "key").drop("key").distinct()
+    return O.apply_filters(cand.withColumn("document_uuid", c("s_suppkey").cast("string")), prof).select("query_id", "document_uuid")
 
 
 # --- synonym rules of the fixture: one way only
@@ -108,27 +134,39 @@ def d07(t):
 
 
 @query("d08_filter_relaxation", f"""
-WITH q AS (SELECT CAST(vec_id AS VARCHAR) AS qid, embedding AS a, label AS l1, label * 100 + vec_id % 15 AS l0 FROM embeddings),
-i AS (SELECT CAST(vec_id AS VARCHAR) AS iid, embedding AS b, label AS l1, label * 100 + vec_id % 15 AS l0 FROM embeddings WHERE label <> 3),
+WITH q AS (SELECT CAST(vec_id AS VARCHAR) AS qid, embedding AS a, label + CASE WHEN vec_id % 10 = 7 THEN 1000 ELSE 0 END AS l1, label * 100 + vec_id % 15 + CASE WHEN vec_id % 5 = 2 THEN 5000 ELSE 0 END AS l0 FROM embeddings),
+i AS (SELECT CAST(vec_id AS VARCHAR) AS iid, embedding AS b, label AS l1, label * 100 + vec_id % 15 AS l0 FROM embeddings),
 n AS (SELECT qid, (SELECT count(*) FROM i WHERE i.l0 = q.l0) AS n0, (SELECT count(*) FROM i WHERE i.l1 = q.l1) AS n1 FROM q),
 p AS (SELECT q.qid, iid, CASE WHEN n0 >= 5 THEN '0' WHEN n1 >= 5 THEN '1' ELSE '*' END AS level, {S.dist('a', 'b')} AS distance FROM q JOIN n USING (qid)
   JOIN i ON CASE WHEN n0 >= 5 THEN i.l0 = q.l0 WHEN n1 >= 5 THEN i.l1 = q.l1 ELSE true END)
 SELECT qid, iid, level, row_number() OVER w AS rank FROM p WINDOW w AS (PARTITION BY qid ORDER BY distance, iid) QUALIFY row_number() OVER w <= 10""")
 def d08(t):
-    l0 = (c("label") * 100 + c("vec_id") % 15).alias("l0")
-    q = t.embeddings.select(c("vec_id").alias("qid"), c("embedding").alias("qvec"), l0, c("label").alias("l1"))
-    i = t.embeddings.where(c("label") != 3).select(c("vec_id").alias("iid"), c("embedding").alias("ivec"), l0, c("label").alias("l1"))
+    l0, n = c("label") * 100 + c("vec_id") % 15, c("vec_id")
+    # some queries ask for keys that no item has, so that each level of relaxation is met
+    q = t.embeddings.select(n.alias("qid"), c("embedding").alias("qvec"), (l0 + F.when(n % 5 == 2, 5000).otherwise(0)).alias("l0"),
+                            (c("label") + F.when(n % 10 == 7, 1000).otherwise(0)).alias("l1"))
+    i = t.embeddings.select(n.alias("iid"), c("embedding").alias("ivec"), l0.alias("l0"), c("label").alias("l1"))
     return _rank(O.relaxed_topk(q, i, ["l0", "l1"], 10).select("qid", "iid", "level", "rank"))
 
 
+# every fourth query asks for the city of its session, every third asks who or what
 @query("d09_question_filter", f"""
-WITH {S.QLOG}, q AS (SELECT query_id, l AS kw, l[4:6] AS en FROM (SELECT query_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM (SELECT query_id, {_ORD} AS l FROM qlog))),
-b AS (SELECT item_id, {S.token_set('text')} AS tk FROM benchmark)
-SELECT query_id, CAST(item_id AS VARCHAR) AS question_id, 'keyword' AS reason FROM q JOIN b ON len(list_intersect(kw[1:3], tk)) > 0
-UNION ALL SELECT query_id, CAST(item_id AS VARCHAR), 'entity' FROM q JOIN b ON len(list_intersect(en, tk)) > 0""")
+WITH {S.QLOG}, {S.QUESTIONS}, q AS (SELECT query_id, l AS kw, l[4:6] AS en, CASE WHEN length(query) % 4 = 0 THEN 'c' || (session_id % 3) END AS city,
+    CASE length(query) % 9 WHEN 0 THEN 'PERSON' WHEN 3 THEN 'FACTUAL' END AS qt FROM (SELECT *, list_filter(l0, lambda x, i: list_position(l0, x) = i) AS l FROM (SELECT *, {_ORD} AS l0 FROM qlog))),
+b AS (SELECT item_id, {S.token_set('question')} AS tk, question_type, 'c' || (item_id % 3) AS city FROM questions),
+r AS (SELECT query_id, item_id, 'keyword' AS reason, q.city AS asked, b.city AS found FROM q JOIN b ON len(list_intersect(kw[1:3], tk)) > 0
+  UNION ALL SELECT query_id, item_id, 'entity', q.city, b.city FROM q JOIN b ON len(list_intersect(en, tk)) > 0
+  UNION ALL SELECT query_id, item_id, 'type', q.city, b.city FROM q JOIN b ON qt = question_type)
+SELECT query_id, CAST(item_id AS VARCHAR) AS question_id, reason FROM r WHERE asked IS NULL OR asked = found""")
 def d09(t):
-    q = O.query_tokens(M.query_log(t)).select("query_id", c("tokens").alias("keywords"), F.slice("tokens", 4, 3).alias("entities"))
-    b = M.questions(t).select(c("document_uuid").alias("question_id"), c("tokens").alias("q_keywords"), c("tokens").alias("q_entities"))
+    log = M.query_log(t)
+    n = F.length("query")
+    none = F.array().cast("array<string>")
+    extra = log.select("query_id", F.when(n % 4 == 0, F.array(F.concat(F.lit("c"), c("session_id") % 3))).otherwise(none).alias("cities"),
+                       F.when(n % 9 == 0, "who").when(n % 9 == 3, "what").alias("question_word"))
+    q = O.query_tokens(log).select("query_id", c("tokens").alias("keywords"), F.slice("tokens", 4, 3).alias("entities")).join(extra, "query_id")
+    b = M.questions(t).select(c("document_uuid").alias("question_id"), c("tokens").alias("q_keywords"), c("tokens").alias("q_entities"), "question_type",
+                              F.concat(F.lit("c"), c("item_id") % 3).alias("location_city"))
     return O.question_filter(q, b)
 
 
@@ -168,15 +206,15 @@ _QHITS = """qh AS (SELECT query_id, document_uuid, row_number() OVER (PARTITION
 WITH {S.CAND}, {_QHITS}, k AS (SELECT query_id, document_uuid, candidate_rank AS kr FROM cand), j AS (
   SELECT coalesce(k.query_id, q.query_id) AS query_id, coalesce(k.document_uuid, q.document_uuid) AS document_uuid, kr, qr,
     CASE WHEN kr IS NOT NULL AND qr IS NOT NULL THEN 0 WHEN kr IS NOT NULL THEN 1 ELSE 2 END AS source
-  FROM (SELECT * FROM k WHERE kr <= 30) k FULL JOIN (SELECT * FROM qh WHERE qr <= 30) q ON k.query_id = q.query_id AND k.document_uuid = q.document_uuid)
+  FROM k FULL JOIN qh q ON k.query_id = q.query_id AND k.document_uuid = q.document_uuid)
 SELECT query_id, document_uuid, source, row_number() OVER (PARTITION BY query_id ORDER BY source, coalesce(kr, qr), document_uuid) AS candidate_rank FROM j""")
 def d11(t):
     d = M.documents(t)
-    post = O.postings(d)
-    kw = O.keyword_candidates(M.query_log(t), d, 30, post=post)
+    post = materialize(O.postings(d), "postings")
+    kw = O.keyword_candidates(M.query_log(t), d, post=post)
     q = O.query_tokens(M.query_log(t))
     hits = q.select("query_id", "token_key").join(O.search_sets(q, post), "token_key")
-    qn = O.top_k(hits, ["query_id"], [F.asc("text_match"), F.desc("document_uuid")], 30, rank="candidate_rank")
+    qn = O.top_k(hits, ["query_id"], [F.asc("text_match"), F.desc("document_uuid")], None, rank="candidate_rank")
     return _rank(O.merge_candidates(kw, qn).select("query_id", "document_uuid", c("source").cast("bigint").alias("source"), "candidate_rank"), "candidate_rank")
 
 
@@ -218,9 +256,9 @@ def d13(t):
 
 
 @query("d14_attach_metadata", f"""
-WITH {_RR} SELECT query_id, semantic_rank, document_uuid, document_title, source, authority_rank_score FROM rk JOIN docs USING (document_uuid) WHERE semantic_rank <= 20""")
+WITH {_RR} SELECT query_id, semantic_rank, document_uuid, document_title, source, authority_rank_score FROM rk JOIN docs USING (document_uuid)""")
 def d14(t):
-    r = O.attach_metadata(_reranked(t).where(c("semantic_rank") <= 20), M.documents(t), ["document_title", "source", "authority_rank_score"])
+    r = O.attach_metadata(_reranked(t), M.documents(t), ["document_title", "source", "authority_rank_score"])
     return _rank(r.select("query_id", "semantic_rank", "document_uuid", "document_title", "source", "authority_rank_score"), "semantic_rank")
 
 
@@ -265,16 +303,16 @@ def d18(t):
     return _rank(O.same_group(d, d, "cl", 5).select("seed_id", "document_uuid", "rank"))
 
 
-_SEM = f"""{S.DOCS}, sm AS (SELECT document_uuid, 'p' || label || '-' || (doc_id % 3) || '-' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS su, 'p' || label || '-' || (doc_id % 3) AS cl, embedding
-  FROM docs JOIN embeddings ON doc_id = vec_id)"""
+_SEM = f"""{S.DOCS}, sm AS (SELECT document_uuid, 'p' || (doc_id % 10) || '-' || (doc_id % 3) || '-' || lpad(CAST(doc_id AS VARCHAR), 4, '0') AS su, 'p' || (doc_id % 10) || '-' || (doc_id % 3) AS cl, embedding
+  FROM docs LEFT JOIN embeddings ON doc_id = vec_id)"""
 _CM = """cm AS (SELECT s.document_uuid AS seed_id, d.document_uuid, d.su, row_number() OVER (PARTITION BY s.document_uuid ORDER BY d.su, d.document_uuid) AS rank
   FROM sm s JOIN sm d ON s.cl = d.cl AND s.document_uuid <> d.document_uuid QUALIFY rank <= {k})"""
 
 
 def _sem(t):
-    d = t.documents.select("doc_id").join(t.embeddings, c("doc_id") == c("vec_id"))
+    d = t.documents.select("doc_id").join(t.embeddings, c("doc_id") == c("vec_id"), "left")
     return d.select(c("doc_id").cast("string").alias("document_uuid"), F.concat_ws(
-        "-", F.concat(F.lit("p"), "label"), c("doc_id") % 3, F.lpad(c("doc_id").cast("string"), 4, "0")).alias("semantic_uuid"), "embedding")
+        "-", F.concat(F.lit("p"), c("doc_id") % 10), c("doc_id") % 3, F.lpad(c("doc_id").cast("string"), 4, "0")).alias("semantic_uuid"), "embedding")
 
 
 @query("d19_cluster_members", f"WITH {_SEM}, {_CM.format(k=10)} SELECT seed_id, document_uuid, su AS semantic_uuid, rank FROM cm")
@@ -285,7 +323,7 @@ def d19(t):
 
 @query("d20_similar_documents", f"""
 WITH {_SEM}, {_CM.format(k=24)}, v AS (SELECT s.document_uuid AS seed_id, d.document_uuid, row_number() OVER (PARTITION BY s.document_uuid ORDER BY {S.dist('s.embedding', 'd.embedding')}, d.document_uuid) AS r
-  FROM sm s JOIN sm d ON s.document_uuid <> d.document_uuid),
+  FROM sm s JOIN sm d ON s.document_uuid <> d.document_uuid WHERE s.embedding IS NOT NULL AND d.embedding IS NOT NULL),
 o AS (SELECT seed_id, document_uuid, min((source, r)) AS m FROM (SELECT seed_id, document_uuid, 0 AS source, rank AS r FROM cm UNION ALL SELECT seed_id, document_uuid, 1, r FROM v WHERE r <= 48) GROUP BY 1, 2)
 SELECT seed_id, document_uuid, CAST(m[1] AS BIGINT) AS source, row_number() OVER (PARTITION BY seed_id ORDER BY m) AS rank FROM o QUALIFY rank <= 24""")
 def d20(t):
@@ -350,10 +388,12 @@ def hash_embed(frames):
 
 
 # a model function is applied only to texts without a stored vector
-@query("d24_attach_embeddings_model")
+@query("d24_attach_embeddings_model", f"""
+WITH h AS (SELECT DISTINCT substring(md5({S.normalize_query('text')}), 1, 16) AS text_hash, len(embedding) AS n FROM benchmark JOIN embeddings ON item_id = vec_id WHERE item_id % 2 = 0)
+SELECT item_id, CAST(coalesce(n, 4) AS BIGINT) AS width FROM benchmark LEFT JOIN h ON substring(md5({S.normalize_query('text')}), 1, 16) = text_hash""")
 def d24_model(t):
-    vec = M.questions(t).where(c("item_id") % 2 == 0).select(X.store_hash(c("question")).alias("text_hash"), "embedding")
-    return O.attach_embeddings(t.benchmark, "text", vec, embed=hash_embed).select("item_id", F.size("embedding").alias("width"))
+    vec = M.questions(t).where((c("item_id") % 2 == 0) & c("embedding").isNotNull()).select(X.store_hash(c("question")).alias("text_hash"), "embedding").dropDuplicates(["text_hash"])
+    return O.attach_embeddings(t.benchmark, "text", vec, embed=hash_embed).select("item_id", F.size("embedding").cast("bigint").alias("width"))
 
 
 @query("d25_related_business", """

@@ -118,9 +118,9 @@ def e05(t):
     return _scored(t).select("query_id", "document_uuid", F.round("subject_multiplier", 6).alias("subject_multiplier"), "subject_match_reason")
 
 
-@query("e06_text_score", f"WITH {FULL} SELECT query_id, document_uuid, {_r('coalesce(ov, 0)')} AS field_overlap, {_r('text_score')} AS text_score FROM tx")
+@query("e06_text_score", f"WITH {FULL} SELECT query_id, document_uuid, {_r('coalesce(ov, 0)')} AS field_overlap, {_r('text_score + 1e-12')} AS text_score FROM tx")
 def e06(t):
-    return _scored(t).select("query_id", "document_uuid", F.round("field_overlap", 6).alias("field_overlap"), F.round("text_score", 6).alias("text_score"))
+    return _scored(t).select("query_id", "document_uuid", F.round("field_overlap", 6).alias("field_overlap"), F.round(c("text_score") + 1e-12, 6).alias("text_score"))
 
 
 # sources stand for categories: four of them named after categories of the domain table
@@ -214,12 +214,12 @@ def e14(t):
 WITH {_RR}, x AS (SELECT rk.*, authority_rank_score AS au, count(*) OVER w AS n, min(vector_distance) FILTER (vector_distance < 1) OVER w AS best FROM rk JOIN docs USING (document_uuid)
   WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, document_uuid, round(0.3 * (1 - (candidate_rank - 1) / n) + 0.5 * (1 - semantic_rank / n) + 0.2 * least(au / 100, 1)
-  - CASE WHEN vector_distance > least(coalesce(best, 1.0) * 2, 0.85) THEN 1 ELSE 0 END, 6) AS legacy_score FROM x""")
+  - CASE WHEN vector_distance > least(coalesce(best, 1.0) * 2, 0.85) THEN 1 ELSE 0 END + 1e-12, 6) AS legacy_score FROM x""")
 def e15(t):
     r = RT.attach_metadata(_reranked(t), M.documents(t), ["authority_rank_score"]).withColumns({
         "candidate_rank": c("candidate_rank") - 1, "authority_score": c("authority_rank_score"),
         "w_text": F.lit(0.3), "w_semantic": F.lit(0.5), "w_authority": F.lit(0.2)})
-    return O.legacy_blend(r).select("query_id", "document_uuid", F.round("legacy_score", 6).alias("legacy_score"))
+    return O.legacy_blend(r).select("query_id", "document_uuid", F.round(c("legacy_score") + 1e-12, 6).alias("legacy_score"))
 
 
 @query("e16_hybrid_score", f"""

@@ -62,7 +62,7 @@ def h03(t):
 @query("h04_user_sessions", f"""
 WITH {SESSIONS}
 SELECT user_id, session_id, row_number() OVER w AS rank FROM sessions
-WINDOW w AS (PARTITION BY user_id ORDER BY created_at DESC, session_id) QUALIFY row_number() OVER w <= 100""")
+WINDOW w AS (PARTITION BY user_id ORDER BY created_at DESC, session_id)""")
 def h04(t):
     return O.user_sessions(O.sessions(M.events(t))).select("user_id", "session_id", c("rank").cast("bigint").alias("rank"))
 
@@ -147,7 +147,7 @@ def h11(t):
 @query("h12_user_history", f"""
 WITH {S.SEARCHES}
 SELECT user_id, event_id, query, row_number() OVER w AS rank FROM searches
-WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) QUALIFY row_number() OVER w <= 1000""")
+WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)""")
 def h12(t):
     return O.user_history(_search_log(t)).select("user_id", "event_id", "query", c("rank").cast("bigint").alias("rank"))
 

@@ -42,8 +42,7 @@ def i01_session(t):
     return _b(O.trending(_clicks(t), LEVELS, dedupe_scope="session").drop("last_write"), "level", "doc_key")
 
 
-_TOP = """n AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY level, place ORDER BY score DESC, query_hash, doc_key) <= 20),
-o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY level, place, doc_key ORDER BY score DESC, query_hash) = 1),
+_TOP = """o AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY level, place, doc_key ORDER BY score DESC, query_hash) = 1),
 top AS (SELECT level, place, doc_key, score, row_number() OVER (PARTITION BY level, place ORDER BY score DESC, query_hash, doc_key) AS rank FROM o QUALIFY rank <= 10)"""
 
 
@@ -77,25 +76,19 @@ _CHAIN = """chain AS (SELECT sid, key, min(sec) AS sec FROM x GROUP BY 1, 2
 add AS (SELECT key, count(*) AS n, max(sec) AS last FROM chain WHERE sec IS NOT NULL GROUP BY 1)"""
 
 
-# the k-th most frequent term is clicked by event k; the session is the user
+# a click goes to the terms whose hash has the four digits of its number; the session is the user
 @query("i05_bump_term_ranks", f"""
-WITH RECURSIVE {S.EVENTS}, {S.CLICKS}, {S.VOCAB}, r AS (SELECT term, row_number() OVER (ORDER BY rank DESC, term) AS i FROM vocab),
-x AS (SELECT user_id % 10 AS sid, term AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM clicks JOIN r ON k + 1 = i), {_CHAIN}
+WITH RECURSIVE {S.EVENTS}, {S.CLICKS}, {S.VOCAB},
+x AS (SELECT user_id % 10 AS sid, term AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM clicks JOIN vocab ON substring(md5(term), 1, 3) = printf('%03x', event_id % 512)), {_CHAIN}
 SELECT term, rank + coalesce(n, 0) * 10000 AS rank, last AS last_clicked_at FROM vocab LEFT JOIN add ON term = key""")
 def i05(t):
     v = M.vocabulary(t)
-    # the hundred most frequent terms: k only reaches 99
-    top = v.orderBy(F.desc("rank"), F.asc("term")).limit(100)
-    ids = top.select("term", F.row_number().over(_by_rank()).alias("i"))
-    clicks = M.clicks(t).join(ids, c("k") + 1 == c("i")).select((c("user_id") % 10).alias("session_id"), "term", "ts")
+    digits = F.lower(F.lpad(F.hex(c("event_id") % 512), 3, "0"))
+    clicks = (M.clicks(t).select((c("user_id") % 10).alias("session_id"), "ts", digits.alias("digits"))
+              .join(v.select("term", F.substring(F.md5("term"), 1, 3).alias("digits")), "digits"))
     return O.bump_term_ranks(v, clicks).select("term", "rank", "last_clicked_at")
 
 
-def _by_rank():
-    from pyspark.sql import Window as W
-    return W.orderBy(F.desc("rank"), F.asc("term"))
-
-
 @query("i06_bump_question_scores", f"""
 WITH RECURSIVE {S.EVENTS}, {S.CLICKS}, x AS (SELECT user_id % 10 AS sid, k AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM clicks), {_CHAIN}
 SELECT item_id AS question_key, length(text) + coalesce(n, 0) * 100 AS question_score, last AS last_clicked_at FROM benchmark LEFT JOIN add ON item_id = key""")
@@ -143,7 +136,7 @@ def _turn_store(t):
 
 @query("i09_cap_store", """
 WITH s AS (SELECT md5(text) AS query_hash, max(n_chars) AS created FROM documents GROUP BY 1)
-SELECT query_hash, created FROM s QUALIFY (SELECT count(*) FROM s) <= 500 OR row_number() OVER (ORDER BY created DESC, query_hash) <= 400""")
+SELECT query_hash, created, NOT ((SELECT count(*) FROM s) <= 500 OR row_number() OVER (ORDER BY created DESC, query_hash) <= 400) AS removed FROM s""")
 def i09(t):
     return O.cap_store(_turn_store(t), 500, 100)
 
@@ -178,16 +171,17 @@ def i12(t):
 
 
 @query("i13_seed_store", f"""
-WITH {S.QLOG}, q AS (SELECT {_H} AS query_hash, min(query) AS query, count(*) AS n, min(session_id) AS sid FROM qlog GROUP BY 1 ORDER BY n DESC, query_hash LIMIT 500),
-o AS (SELECT query_hash, n, CASE WHEN length({_N}) < 3 OR len(string_split({_N}, ' ')) < 2 OR {' OR '.join(f"contains({_N}, '{w}')" for w in O.TIME_WORDS)} OR length(query) % 10 = 0 THEN 'skipped'
-  WHEN sid % 5 = 0 THEN 'failed' ELSE 'stored' END AS outcome FROM q)
+WITH {S.QLOG}, q AS (SELECT {_H} AS query_hash, min(query) AS query, count(*) AS n, min(session_id) AS sid FROM qlog GROUP BY 1),
+p AS (SELECT *,  length({_N}) < 3 OR len(string_split({_N}, ' ')) < 2 OR {' OR '.join(f"contains({_N}, '{w}')" for w in O.TIME_WORDS)} OR length(query) % 10 = 0 AS skip FROM q),
+o AS (SELECT query_hash, n, CASE WHEN skip THEN 'skipped' WHEN sid % 5 = 0 THEN 'failed' ELSE 'stored' END AS outcome FROM p
+  QUALIFY skip OR row_number() OVER (PARTITION BY skip ORDER BY n DESC, query_hash) <= 300)
 SELECT 'row' AS part, query_hash AS name, n FROM o WHERE outcome = 'stored' UNION ALL SELECT 'count', outcome, count(*) FROM o GROUP BY 2""")
 def i13(t):
     log = M.query_log(t).withColumn("results_count", F.lit(1))
     g = log.groupBy(X.store_hash(c("query")).alias("query_hash")).agg(F.min("query").alias("q"), F.min("session_id").alias("sid"))
     store = g.where(F.length("q") % 10 == 0).select("query_hash")
     vec = g.where(c("sid") % 5 != 0).select("query_hash", F.array(F.lit(0.5), F.lit(0.5)).alias("embedding"))
-    rows, counts = O.seed_store(log, store, vec, 500, width=2)
+    rows, counts = O.seed_store(log, store, vec, 300, width=2)
     return (rows.select(F.lit("row").alias("part"), c("query_hash").alias("name"), c("search_count").alias("n"))
             .unionByName(counts.select(F.lit("count").alias("part"), c("outcome").alias("name"), "n")))
 
@@ -195,23 +189,30 @@ def i13(t):
 # ---- streams: the event files replayed, results equal to the batch statement ----------------
 
 @query("i14_stream_counters", f"""
-WITH {S.EVENTS} SELECT {DAY.format('event_date')} AS day, event_type AS value, count(*) AS n FROM ev GROUP BY 1, 2""")
+WITH {S.EVENTS}, {S.SEARCHES.split(', searches', 1)[1].join(['searches', ''])}, x AS (SELECT event_date, 'event_type' AS dim, event_type AS value FROM ev
+  UNION ALL SELECT event_date, 'mode', mode FROM searches UNION ALL SELECT event_date, 'query', query FROM searches)
+SELECT {DAY.format('event_date')} AS day, dim, value, count(*) AS n FROM x GROUP BY 1, 2, 3""")
 def i14(t):
-    return ST.replay_counters(t).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "value", "n")
+    return ST.replay_counters(t).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "dim", "value", "n")
 
 
+# closed by a silence of six hours or by a sign-up; what is still open when the watermark (an hour behind) stops is not emitted
 @query("i15_stream_sessions", f"""
-WITH {S.EVENTS}, b AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM b)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks FROM g GROUP BY user_id, grp""")
+WITH {S.EVENTS}, b AS (SELECT user_id, ts, event_id, event_type, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR AND lag(event_type) OVER w <> 'signup' THEN 0 ELSE 1 END AS brk
+  FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM b),
+s AS (SELECT user_id, grp, min(ts) AS started, max(ts) AS last, count(*) AS n, count(*) FILTER (event_type = 'click') AS clicks, bool_or(event_type = 'signup') AS ended FROM g GROUP BY 1, 2)
+SELECT user_id, strftime(started, '%Y-%m-%d %H:%M:%S') AS started, n, clicks, ended FROM s
+WHERE ended OR grp < (SELECT max(grp) FROM s z WHERE z.user_id = s.user_id) OR epoch_ms(last) + 6 * 3600000 < epoch_ms((SELECT max(ts) FROM ev)) - 3600000""")
 def i15(t):
-    return ST.replay_sessions(t, "6 hours").select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n", "clicks")
+    return ST.replay_sessions(t, 6 * 3600, "signup").select("user_id", F.date_format("started", "yyyy-MM-dd HH:mm:ss").alias("started"), "n", "clicks", "ended")
 
 
 @query("i16_stream_dedupe", f"""
-WITH {S.EVENTS}, x AS (SELECT user_id AS sid, event_type AS key, event_date AS d FROM ev) SELECT DISTINCT sid AS user_id, key AS event_type, {DAY.format('d')} AS day FROM x""")
+WITH RECURSIVE {S.EVENTS}, x AS (SELECT user_id AS sid, event_type AS key, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM ev), {_CHAIN}
+SELECT sid AS user_id, key AS event_type, sec AS accepted FROM chain WHERE sec IS NOT NULL""")
 def i16(t):
-    return ST.replay_dedupe(t).select("user_id", "event_type", F.date_format("event_date", "yyyy-MM-dd").alias("day"))
+    return ST.replay_dedupe(t).select("user_id", "event_type", "accepted")
 
 
 @query("i17_stream_rate", f"""

@@ -35,15 +35,14 @@ def squeeze(e: str) -> str:
 CONTROL = r"[\x00-\x1f\x7f-\x{9f}]"
 
 
-def sanitize_query(e: str) -> str:
-    a = f"substring({strip(e)}, 1, 500)"
+def sanitize_query(e: str, cap: int | None = 500) -> str:
+    a = strip(e) if cap is None else f"substring({strip(e)}, 1, {cap})"
     a = rf"regexp_replace(regexp_replace({a}, '{CONTROL}', '', 'g'), '\s+', ' ', 'g')"
     return rf"regexp_replace({a}, '[<>{{}}|\[\]\\^`]', '', 'g')"
 
 
 def normalize_query(e: str) -> str:
-    a = squeeze(rf"regexp_replace(lower({e}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g')")
-    return f"substring({a}, 1, 500)"
+    return squeeze(rf"regexp_replace(lower({e}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g')")
 
 
 def raw_tokens(e: str) -> str:
@@ -71,11 +70,11 @@ def sentences(e: str) -> str:
 
 # query_id, session_id, query: one row per sentence of each user turn
 QLOG = f"""qlog AS (
-  SELECT conv_id || '-' || turn || '-' || pos AS query_id, conv_id AS session_id, {sanitize_query('s')} AS query
+  SELECT conv_id || '-' || turn || '-' || pos AS query_id, conv_id AS session_id, {sanitize_query('s', None)} AS query
   FROM (SELECT conv_id, turn, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos
         FROM (SELECT conv_id, turn, regexp_split_to_array(text, '[.\\n]+') AS l
               FROM conversations WHERE role = 'user'))
-  WHERE {sanitize_query('s')} <> '')"""
+  WHERE {sanitize_query('s', None)} <> '')"""
 
 # query_id, pos, word
 QWORDS = f"""{QLOG}, qwords AS (
@@ -134,7 +133,7 @@ VOCAB = f"""{VOCTOK}, vocab AS (
   FROM voctok GROUP BY term)"""
 
 
-def ngrams(n: int, name: str) -> str:
+def ngrams(n: int, name: str, least: int = 1) -> str:
     return f"""{name} AS (
   SELECT term, CAST(sum(n) AS BIGINT) AS rank, arg_min(lang, (-n, lang)) AS category, 'noun' AS pos
   FROM (SELECT term, lang, count(*) AS n
@@ -142,7 +141,7 @@ def ngrams(n: int, name: str) -> str:
               FROM (SELECT lang, tk, unnest(range(1, len(tk) - {n - 2})) AS i
                     FROM (SELECT lang, {token_list('text')} AS tk FROM documents) WHERE len(tk) >= {n}))
         GROUP BY term, lang)
-  GROUP BY term HAVING sum(n) >= 2)"""
+  GROUP BY term HAVING sum(n) >= {least})"""
 
 
 PRODUCTS = """products AS (
@@ -206,7 +205,7 @@ def asked(forms) -> str:
         e = lit(parts[0]) + "".join(f" || query || {lit(p)}" for p in parts[1:])
         cases.append(f"WHEN {i} THEN {e}")
     expr = f"CASE (length(query) + session_id) % {len(forms)} {' '.join(cases)} END"
-    return f"""{QLOG}, asked AS (SELECT query_id, session_id, {sanitize_query('q')} AS query
+    return f"""{QLOG}, asked AS (SELECT query_id, session_id, {sanitize_query('q', None)} AS query
   FROM (SELECT query_id, session_id, {expr} AS q FROM qlog)),
 awords AS (SELECT query_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
   FROM (SELECT query_id, {words('query')} AS w FROM asked))"""
@@ -263,7 +262,7 @@ HITS = """hits AS (SELECT query_id, document_uuid, CAST(sum(weight) AS BIGINT) A
 STAR = """star AS (SELECT query_id, document_uuid, 0 AS text_match FROM qt, (SELECT document_uuid FROM docs ORDER BY authority_rank_score DESC, document_uuid LIMIT 100) WHERE len(ts) = 0)"""
 CAND = f"""{QLOG}, {DOCS}, {POST}, {QT}, {HITS}, {STAR}, cand AS (
   SELECT query_id, c.document_uuid, text_match, row_number() OVER w AS candidate_rank FROM (SELECT * FROM hits UNION ALL SELECT * FROM star) c JOIN docs USING (document_uuid)
-  WINDOW w AS (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, c.document_uuid) QUALIFY row_number() OVER w <= 100)"""
+  WINDOW w AS (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, c.document_uuid))"""
 
 
 def dist(a: str, b: str) -> str:

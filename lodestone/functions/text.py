@@ -17,7 +17,7 @@ CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def squeeze(c: Column) -> Column:
@@ -28,9 +28,10 @@ def blank_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def sanitize_query(c: Column) -> Column:
-    """Trim, cap, drop control characters, collapse spaces, drop brackets."""
-    c = F.substring(strip(F.coalesce(c, F.lit(""))), 1, R.MAX_QUERY_LENGTH)
+def sanitize_query(c: Column, cap: int | None = R.MAX_QUERY_LENGTH) -> Column:
+    """Trim, cap (for a request; a log is read whole with None), drop control characters, collapse spaces, drop brackets."""
+    c = strip(F.coalesce(c, F.lit("")))
+    c = c if cap is None else F.substring(c, 1, cap)
     c = F.regexp_replace(F.regexp_replace(c, CONTROL, ""), r"\s+", " ")
     return F.regexp_replace(c, r"[<>{}|\[\]\\^`]", "")
 
@@ -84,10 +85,10 @@ def normalize_city(c: Column, supported: list[str] | None = None, default: str =
     return F.when(city.isin(R.SUPPORTED_CITIES if supported is None else supported), city).otherwise(default)
 
 
-def normalize_query(c: Column) -> Column:
-    """Lower case, every non-alphanumeric to a space, collapsed, capped."""
-    v = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s]", " ")
-    return F.substring(squeeze(v), 1, R.MAX_QUERY_LENGTH)
+def normalize_query(c: Column, cap: int | None = None) -> Column:
+    """Lower case, every non-alphanumeric to a space, collapsed; ``cap`` cuts a request."""
+    v = squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}\s]", " "))
+    return v if cap is None else F.substring(v, 1, cap)
 
 
 def short_hash(c: Column, n: int) -> Column:

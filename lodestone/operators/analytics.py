@@ -152,7 +152,7 @@ def session_archive(s: DataFrame, ended_only: bool = True) -> DataFrame:
         F.count_if("is_logged_in").alias("logged_in_sessions"), F.count_if(~F.col("is_logged_in")).alias("anonymous_sessions"))
 
 
-def user_sessions(s: DataFrame, k: int = 100) -> DataFrame:
+def user_sessions(s: DataFrame, k: int | None = None) -> DataFrame:
     return top_k(s.where(F.col("user_id").isNotNull()), ["user_id"], [F.desc("created_at"), F.asc("session_id")], k, rank="rank")
 
 
@@ -166,9 +166,9 @@ def daily_audience(s: DataFrame, dims: list[str]) -> DataFrame:
 
 # ---- searches --------------------------------------------------------------------
 
-def popular_queries(log: DataFrame, k: int | None, keys: list[str] = (), cap: int = 100) -> DataFrame:
+def popular_queries(log: DataFrame, k: int | None, keys: list[str] = ()) -> DataFrame:
     """Search count per normalised query; ``keys`` adds day or other dimensions."""
-    c = log.groupBy(*keys, F.substring("query_normalized", 1, cap).alias("query")).agg(F.count("*").alias("n"))
+    c = log.groupBy(*keys, F.col("query_normalized").alias("query")).agg(F.count("*").alias("n"))
     if k is None:
         return c
     order = [F.desc("n"), F.asc("query")]
@@ -217,7 +217,7 @@ def strategy_stats(log: DataFrame, strategy: str) -> DataFrame:
             .withColumn("avg_results", safe_ratio(F.col("total_results"), F.col("count"), 2)))
 
 
-def user_history(log: DataFrame, k: int = 1000) -> DataFrame:
+def user_history(log: DataFrame, k: int | None = None) -> DataFrame:
     return top_k(log, ["user_id"], [F.desc("ts"), F.desc("event_id")], k, rank="rank")
 
 

@@ -13,7 +13,6 @@ from lodestone.operators.windows import once_per_ttl, top_k
 
 # --- fixed values: lifetimes, steps and caps of the feedback stores ------------------
 DAY_SECONDS = 86400
-TRENDING_KEPT, TRENDING_FETCH = 20, 3
 TERM_STEP, QUESTION_STEP = 10000, 100
 MIN_STORE_LENGTH, MIN_STORE_WORDS = 3, 2
 TIME_WORDS = ["today", "tomorrow", "yesterday", "this week", "tonight", "now", "current", "latest", "2026", "2025"]
@@ -64,11 +63,10 @@ def trending(clicks: DataFrame, levels: list[str], dedupe_scope: str = "place",
     return t
 
 
-def trending_top(t: DataFrame, k: int, kept: int = TRENDING_KEPT) -> DataFrame:
-    """Best rows of each place: at most ``kept`` entries, one per document, ``k`` returned."""
+def trending_top(t: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best documents of each place, each by its best row."""
     order = [F.desc("score"), F.asc("query_hash"), F.asc("doc_key")]
-    near = top_k(t, ["level", "place"], order, min(kept, TRENDING_FETCH * k))
-    one = top_k(near, ["level", "place", "doc_key"], order, 1)
+    one = top_k(t, ["level", "place", "doc_key"], order, 1)
     return top_k(one, ["level", "place"], order, k, rank="rank")
 
 
@@ -131,14 +129,18 @@ def store_queries(store: DataFrame, log: DataFrame) -> DataFrame:
                     born.alias("created"), life.alias("expires"))
 
 
-def cap_store(store: DataFrame, cap: int = STORE_CAP, slack: int = STORE_SLACK) -> DataFrame:
-    """When the store is over its cap, only the newest ``cap - slack`` entries stay.
+def cap_store(store: DataFrame, cap: int | None = None, slack: int = STORE_SLACK) -> DataFrame:
+    """The store with a column ``removed``: nothing goes unless a cap is asked for.
 
-    A distributed top-k decides; the size check is one number.
+    A store over ``cap`` keeps its newest ``cap - slack`` entries, chosen by a
+    distributed top-k; the size of the store is one row in the plan.
     """
-    if store.limit(cap + 1).count() <= cap:
-        return store
-    return store.orderBy(F.desc("created"), F.asc("query_hash")).limit(cap - slack)
+    if cap is None:
+        return store.withColumn("removed", F.lit(False))
+    kept = store.orderBy(F.desc("created"), F.asc("query_hash")).limit(cap - slack).select("query_hash", F.lit(True).alias("_kept"))
+    size = store.agg(F.count("*").alias("_size")).withColumn("_one", F.lit(1))
+    d = store.withColumn("_one", F.lit(1)).join(F.broadcast(size), "_one").join(kept, "query_hash", "left")
+    return d.withColumn("removed", (F.col("_size") > cap) & F.col("_kept").isNull()).drop("_one", "_size", "_kept")
 
 
 def related_searches(queries: DataFrame, store: DataFrame, lo: float = SIMILAR_LOW, hi: float = SIMILAR_HIGH, k: int = SIMILAR_K) -> DataFrame:
@@ -166,17 +168,20 @@ def clean_store(store: DataFrame, now: Column, max_age_hours: int = MAX_LIFE_HOU
     return store.where((F.col("result_count") > 0) & (F.col("created") >= now - max_age_hours * 3600))
 
 
-def seed_store(log: DataFrame, store: DataFrame, vectors: DataFrame, k: int = 1000, width: int = 384) -> tuple[DataFrame, DataFrame]:
-    """Popular log queries not yet stored, with their vector, and the outcome counts."""
-    q = (log.groupBy(X.store_hash(F.col("query")).alias("query_hash")).agg(
+def seed_store(log: DataFrame, store: DataFrame, vectors: DataFrame, k: int | None = None, width: int = 384) -> tuple[DataFrame, DataFrame]:
+    """Log queries not yet stored, with their vector, and the outcome counts.
+
+    With ``k``, the k most popular of those that may be stored; queries that
+    may not are counted as skipped.
+    """
+    q = log.groupBy(X.store_hash(F.col("query")).alias("query_hash")).agg(
         F.min("query").alias("query"), F.count("*").alias("search_count"), F.max("results_count").alias("result_count"))
-        .orderBy(F.desc("search_count"), F.asc("query_hash")).limit(k))
-    fit = eligible(q).select("query_hash", F.lit(True).alias("_fit"))
-    d = (q.join(fit, "query_hash", "left").join(store.select("query_hash", F.lit(True).alias("_old")), "query_hash", "left")
-         .join(vectors.select("query_hash", "embedding"), "query_hash", "left"))
+    fit = eligible(q).join(store.select("query_hash"), "query_hash", "left_anti")
+    best = fit if k is None else fit.orderBy(F.desc("search_count"), F.asc("query_hash")).limit(k)
     good = F.coalesce(F.size("embedding"), F.lit(0)) == width
-    d = d.withColumn("outcome", F.when(F.col("_fit").isNull() | F.col("_old").isNotNull(), "skipped").when(good, "stored").otherwise("failed"))
-    return d.where(F.col("outcome") == "stored").drop("_fit", "_old", "outcome"), d.groupBy("outcome").agg(F.count("*").alias("n"))
+    d = best.join(vectors.select("query_hash", "embedding"), "query_hash", "left").withColumn("outcome", F.when(good, "stored").otherwise("failed"))
+    skipped = q.join(fit.select("query_hash"), "query_hash", "left_anti").select(F.lit("skipped").alias("outcome"))
+    return d.where(F.col("outcome") == "stored").drop("outcome"), d.select("outcome").unionByName(skipped).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def daily_sample(df: DataFrame, key: str, day: str, salt: str, n: int | None = None, per: str | None = None) -> DataFrame:

@@ -21,7 +21,8 @@ from lodestone.operators.windows import top_k
 from lodestone.rules import scoring as R
 from lodestone.session import materialize
 
-CANDIDATE_CAP = 100
+#: Documents offered for a query without a token, a list of its own.
+BROWSE_LIST = 100
 
 
 # ---- keyword retrieval --------------------------------------------------------------
@@ -70,13 +71,13 @@ def search_sets(sets: DataFrame, post: DataFrame, variants: DataFrame | None = N
             .where(F.col("got") == F.col("need")).select("token_key", "document_uuid", "text_match"))
 
 
-def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int = CANDIDATE_CAP, num_typos: int = 0,
-                       drop_tokens: int | None = None, post: DataFrame | None = None) -> DataFrame:
-    """(query_id, document_uuid, text_match, candidate_rank): best k documents of each query.
+def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int | None = None, num_typos: int = 0,
+                       drop_tokens: int | str | None = None, post: DataFrame | None = None, browse: int = BROWSE_LIST) -> DataFrame:
+    """(query_id, document_uuid, text_match, candidate_rank): all documents of each query, or its best k.
 
     Order: summed weight, authority, id. A query without tokens takes the
-    documents of highest authority. ``drop_tokens`` is the number of hits below
-    which trailing tokens are dropped; ``num_typos`` allows one edit per token.
+    ``browse`` documents of highest authority. ``drop_tokens`` is the number of hits below
+    which trailing tokens are dropped, or a column of ``queries`` that holds it; ``num_typos`` allows one edit per token.
     """
     # the index is read three times, so it is written once
     post = materialize(postings(docs) if post is None else post, "postings")
@@ -89,16 +90,20 @@ def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int = CANDIDATE_C
     auth = docs.select("document_uuid", F.col("authority_rank_score").alias("_a"))
     order = [F.desc("text_match"), F.desc("_a"), F.asc("document_uuid")]
     hits = search_sets(q, post, variants)
+    least = F.lit(drop_tokens) if isinstance(drop_tokens, int) else F.lit(0) if drop_tokens is None else F.col("least")
     keys = q.select("query_id", "token_key", "tokens")
+    if isinstance(drop_tokens, str):
+        keys = keys.join(queries.select("query_id", F.col(drop_tokens).alias("least")), "query_id")
+    held = ["least"] if isinstance(drop_tokens, str) else []
     if drop_tokens:
         # only sets with too few hits are searched again, by their leading tokens
         n = hits.groupBy("token_key").agg(F.count("*").alias("n"))
-        few = keys.where(F.size("tokens") > 1).join(n, "token_key", "left").where(F.coalesce("n", F.lit(0)) < drop_tokens)
-        heads = few.select("query_id", F.posexplode(F.transform(
+        few = keys.where(F.size("tokens") > 1).join(n, "token_key", "left").where(F.coalesce("n", F.lit(0)) < least)
+        heads = few.select("query_id", *held, F.posexplode(F.transform(
             F.sequence(F.lit(1), F.size("tokens") - 1), lambda m: F.array_join(F.array_sort(F.slice("tokens", 1, m)), " "))).alias("m", "token_key"))
         more = search_sets(heads.select("token_key").distinct(), post, variants)
         cnt = more.groupBy("token_key").agg(F.count("*").alias("n"))
-        level = (heads.join(cnt, "token_key").withColumn("ok", F.col("n") >= drop_tokens).groupBy("query_id")
+        level = (heads.join(cnt, "token_key").withColumn("ok", F.col("n") >= least).groupBy("query_id")
                  .agg(F.max_by("token_key", F.struct("ok", F.when(F.col("ok"), F.col("m")).otherwise(-F.col("m")))).alias("token_key")))
         kept = keys.join(level.select("query_id"), "query_id", "left_anti").select("query_id", "token_key")
         best = top_k(more.join(auth, "document_uuid"), ["token_key"], order, k)
@@ -107,18 +112,27 @@ def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int = CANDIDATE_C
     else:
         full = top_k(hits.join(auth, "document_uuid"), ["token_key"], order, k)
         rows = keys.select("query_id", "token_key").join(full, "token_key")
-    # queries without a token share one list of at most k rows
+    # queries without a token share one list of at most ``browse`` rows
     star = keys.where(F.col("token_key") == "").select("query_id", F.lit(1).alias("_one"))
-    head = auth.orderBy(F.desc("_a"), F.asc("document_uuid")).limit(k).withColumns({"_one": F.lit(1), "text_match": F.lit(0).cast("bigint")})
+    head = auth.orderBy(F.desc("_a"), F.asc("document_uuid")).limit(browse).withColumns({"_one": F.lit(1), "text_match": F.lit(0).cast("bigint")})
     rows = rows.drop("token_key").unionByName(star.join(F.broadcast(head), "_one").drop("_one"))
     return top_k(rows, ["query_id"], order, k, rank="candidate_rank").drop("_a")
 
 
-METADATA = ["document_data_type", "document_category", "document_schema", "primary_subject_name", "primary_subject_type",
-            "primary_subject_confidence", "authority_rank_score", "content_depth_score", "word_count"]
+# --- fixed values: what a candidate carries on to scoring and display
+METADATA = [
+    "document_data_type", "document_category", "document_schema", "document_title", "content_intent",
+    "primary_subject_name", "primary_subject_type", "primary_subject_confidence", "primary_subject_disambiguator", "secondary_subjects",
+    "entity_names", "primary_keywords", "key_facts", "topic_tags", "semantic_keywords", "document_summary",
+    "content_depth_score", "factual_density_score", "evergreen_score", "subtopic_richness", "concept_count", "authority_rank_score", "word_count",
+    "authority_score", "service_rating", "service_review_count", "service_type", "product_rating", "product_review_count",
+    "recipe_rating", "recipe_review_count", "media_rating", "black_owned", "image_url", "logo_url",
+]
 
 
-def attach_metadata(cands: DataFrame, docs: DataFrame, columns: list[str] = METADATA) -> DataFrame:
+def attach_metadata(cands: DataFrame, docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Candidates with the metadata columns that the collection has, or the named ones."""
+    columns = [c for c in METADATA if c in docs.columns] if columns is None else columns
     return cands.join(docs.select("document_uuid", *columns), "document_uuid")
 
 
@@ -130,10 +144,21 @@ def place_filter(d: DataFrame) -> Column:
 
 
 def apply_filters(cands: DataFrame, profile: DataFrame) -> DataFrame:
-    """Place, scope and chosen filters of each query over its candidates."""
-    d = cands.join(profile, "query_id").where(place_filter(cands))
+    """Place, scope and chosen filters of each query over its candidates.
+
+    ``chosen_data_type``, ``chosen_category`` and ``chosen_schema`` are arrays
+    where the profile has them; an empty one filters nothing. A query whose
+    answer is a place (``where_answer``) is not restricted to places.
+    """
+    d = cands.join(profile, "query_id")
+    place = place_filter(d)
+    if "where_answer" in profile.columns:
+        place = place | F.coalesce("where_answer", F.lit(False))
     scope = F.col("required_type").isNull() | (F.col("document_data_type") == F.col("required_type"))
-    return d.where(scope)
+    for name, field in (("chosen_data_type", "document_data_type"), ("chosen_category", "document_category"), ("chosen_schema", "document_schema")):
+        if name in profile.columns:
+            scope = scope & ((F.coalesce(F.size(name), F.lit(0)) <= 0) | F.array_contains(name, F.col(field)))
+    return d.where(place & scope)
 
 
 def expand_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
@@ -148,7 +173,7 @@ def expand_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
 QUERY_BLOCK, ITEM_BLOCK = 2048, 16384
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, keyed: bool = False, exclude_self: bool = False,
+def vector_topk(queries: DataFrame, items: DataFrame, k: int | None, keyed: bool = False, exclude_self: bool = False,
                 lo: float | None = None, hi: float | None = None) -> DataFrame:
     """(qid, iid, distance, rank): exact k nearest items by cosine distance.
 
@@ -156,15 +181,19 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, keyed: bool = Fals
     blocks of bounded size; one task multiplies one pair of blocks and returns
     at most k rows per query, so no pair table exists. With ``keyed`` only
     equal keys meet; the key ``*`` stands for no filter. ``lo``/``hi`` keep
-    similarities of that band.
+    similarities of that band; without ``k`` all of the band are returned.
     """
     if not keyed:
         queries, items = queries.withColumn("key", F.lit("*")), items.withColumn("key", F.lit("*"))
     q = queries.select(F.col("qid").cast("string").alias("qid"), "qvec", "key").where(F.col("qvec").isNotNull())
     i = items.select(F.col("iid").cast("string").alias("iid"), "ivec", "key").where(F.col("ivec").isNotNull())
-    nq, ni = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-i.count() // ITEM_BLOCK))
-    q = q.withColumns({"qb": F.pmod(F.hash("qid"), F.lit(nq)), "ib": F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))})
-    i = i.withColumns({"ib": F.pmod(F.hash("iid"), F.lit(ni)), "qb": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+    # the number of blocks of a key follows from its counts, one row for each key that queries and items share
+    many = (q.groupBy("key").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_nq"))
+            .join(i.groupBy("key").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("_ni")), "key"))
+    q, i = q.join(many, "key"), i.join(many, "key")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.withColumn("qb", F.pmod(F.hash("qid"), F.col("_nq"))).withColumn("ib", each("_ni")).drop("_nq", "_ni")
+    i = i.withColumn("ib", F.pmod(F.hash("iid"), F.col("_ni"))).withColumn("qb", each("_nq")).drop("_nq", "_ni")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -178,9 +207,20 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, keyed: bool = Fals
         if exclude_self:
             d[ids_q[:, None] == ids_i[None, :]] = np.inf
         if lo is not None:
-            d[(1 - d < lo) | (1 - d > hi)] = np.inf
+            d[(1 - d < lo) | (1 - d > (2 if hi is None else hi))] = np.inf
         d = np.round(d, 9)
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
+        if k is None:
+            rows, cols = np.nonzero(np.isfinite(d))
+            return pd.DataFrame({"qid": ids_q[rows], "iid": ids_i[cols], "distance": d[rows, cols]})
+        if k < d.shape[1]:  # all that can be among the first k, ties included, before the exact order
+            near = d <= np.partition(d, k - 1, axis=1)[:, k - 1:k]
+            d = np.where(near, d, np.inf)
+            width = int(near.sum(axis=1).max())
+            part = np.sort(np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width], axis=1)
+            order = np.argsort(np.take_along_axis(d, part, axis=1), axis=1, kind="stable")[:, :k]
+            take = np.take_along_axis(part, order, axis=1)
+        else:
+            take = np.argsort(d, axis=1, kind="stable")
         rows, cols = np.repeat(np.arange(len(ids_q)), take.shape[1]), take.ravel()
         out = pd.DataFrame({"qid": ids_q[rows], "iid": ids_i[cols], "distance": d[rows, cols]})
         return out[np.isfinite(out.distance)]
@@ -210,21 +250,39 @@ def relaxed_topk(queries: DataFrame, items: DataFrame, levels: list[str], k: int
     return top.join(q.select(F.col("qid").cast("string").alias("qid"), F.substring_index("key", ":", 1).alias("level")), "qid")
 
 
-def question_filter(profile: DataFrame, questions: DataFrame) -> DataFrame:
-    """(query_id, question_id, reason): questions sharing one of the first three keywords or entities.
+QUESTION_TYPES = {"when": "TEMPORAL", "where": "LOCATION", "who": "PERSON", "what": "FACTUAL", "which": "FACTUAL",
+                  "why": "REASON", "how": "PROCESS"}
 
-    Each alternative of the OR is an equi-join; the question type, held by a
-    large share of the questions, is a key of the vector stage instead.
-    """
-    def side(col: str, reason: str) -> DataFrame:
-        a = profile.select("query_id", F.explode(F.slice(col, 1, 3)).alias("v"))
-        b = questions.select("question_id", F.explode(F.array_distinct("q_" + col)).alias("v"))
-        return a.join(b, "v").select("query_id", "question_id", F.lit(reason).alias("reason"))
-    return side("keywords", "keyword").unionByName(side("entities", "entity")).distinct()
 
+def question_filter(profile: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, question_id, reason): questions of one of the first three keywords or entities, or
+    of the asked type, that lie in an asked place.
 
-QUESTION_TYPES = {"when": "TEMPORAL", "where": "LOCATION", "who": "PERSON", "what": "FACTUAL", "which": "FACTUAL",
-                  "why": "REASON", "how": "PROCESS"}
+    profile: query_id, keywords, entities and, where there are any, question_word, cities and
+    state_variants; questions: question_id, q_keywords, q_entities and question_type, location_city,
+    location_state. Each alternative of the OR is an equi-join; without a place
+    asked for, nothing is filtered by place.
+    """
+    p = profile
+    for col in ("cities", "state_variants"):
+        p = p if col in p.columns else p.withColumn(col, F.array().cast("array<string>"))
+    q = questions
+    for col in ("location_city", "location_state", "question_type"):
+        q = q if col in q.columns else q.withColumn(col, F.lit(None).cast("string"))
+    place, at = ["cities", "state_variants"], ["location_city", "location_state"]
+
+    def side(values: Column, found: Column, reason: str) -> DataFrame:
+        a = p.select("query_id", *place, F.explode(values).alias("v"))
+        b = q.select("question_id", *at, F.explode(found).alias("v"))
+        return a.join(b, "v").select("query_id", "question_id", *place, *at, F.lit(reason).alias("reason"))
+
+    out = side(F.slice("keywords", 1, 3), F.array_distinct("q_keywords"), "keyword").unionByName(
+        side(F.slice("entities", 1, 3), F.array_distinct("q_entities"), "entity"))
+    if "question_word" in p.columns:
+        asked = lookup(QUESTION_TYPES, F.lower("question_word"))
+        out = out.unionByName(side(F.array_compact(F.array(asked)), F.array_compact(F.array("question_type")), "type"))
+    ok = [(F.size(c) == 0) | F.coalesce(F.array_contains(c, F.col(f)), F.lit(False)) for c, f in zip(place, at)]
+    return out.where(ok[0] & ok[1]).select("query_id", "question_id", "reason").distinct()
 
 
 def validate_question_hits(hits: DataFrame) -> DataFrame:
@@ -258,7 +316,7 @@ def merge_candidates(kw: DataFrame, qn: DataFrame, k: int | None = None) -> Data
     m = a.join(b, ["query_id", "document_uuid"], "full_outer")
     both = F.col("kr").isNotNull() & F.col("qr").isNotNull()
     m = m.withColumn("source", F.when(both, 0).when(F.col("kr").isNotNull(), 1).otherwise(2))
-    return top_k(m, ["query_id"], [F.asc("source"), F.asc(F.coalesce("kr", "qr")), F.asc("document_uuid")], k or 1000, rank="candidate_rank") \
+    return top_k(m, ["query_id"], [F.asc("source"), F.asc(F.coalesce("kr", "qr")), F.asc("document_uuid")], k, rank="candidate_rank") \
         .drop("kr", "qr")
 
 
@@ -269,13 +327,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (n > 0), 1 - dot(a, b) / n)
 
 
-def rerank(cands: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame, max_k: int = 500) -> DataFrame:
-    """Adds vector_distance and semantic_rank; unknown vectors get 1.0 and go last."""
-    c = (cands.where(F.col("candidate_rank") <= max_k).join(doc_vectors.select("document_uuid", "embedding"), "document_uuid", "left")
+def rerank(cands: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame, max_k: int | None = None) -> DataFrame:
+    """Adds vector_distance and semantic_rank; unknown vectors get 1.0 and go last.
+
+    With ``max_k`` only the first candidates of a query are ordered by vector;
+    the others follow in the order they had.
+    """
+    c = (cands.join(doc_vectors.select("document_uuid", "embedding"), "document_uuid", "left")
          .join(query_vectors.select("query_id", "query_embedding"), "query_id", "left"))
     d = F.coalesce(F.round(cosine_distance(F.col("embedding"), F.col("query_embedding")), 9), F.lit(1.0))
     c = c.withColumn("vector_distance", d).drop("embedding", "query_embedding")
-    return top_k(c, ["query_id"], [F.asc("vector_distance"), F.asc("candidate_rank"), F.asc("document_uuid")], max_k, rank="semantic_rank")
+    order = [F.asc("vector_distance"), F.asc("candidate_rank"), F.asc("document_uuid")]
+    if max_k is not None:
+        late = F.col("candidate_rank") > max_k
+        order = [late.asc(), F.when(~late, F.col("vector_distance")).asc(), *order[1:]]
+    return top_k(c, ["query_id"], order, None, rank="semantic_rank")
 
 
 def prune_by_distance(df: DataFrame, mode: str = "query_mode") -> DataFrame:
@@ -283,7 +349,7 @@ def prune_by_distance(df: DataFrame, mode: str = "query_mode") -> DataFrame:
     return df.where(F.col("vector_distance") <= lim)
 
 
-def apply_rank(results: DataFrame, ranked: DataFrame, k: int = 1000) -> DataFrame:
+def apply_rank(results: DataFrame, ranked: DataFrame, k: int | None = None) -> DataFrame:
     """Semantic rank and distance joined in; rows without one go last; renumbered."""
     r = ranked.select("query_id", "document_uuid", "semantic_rank", "vector_distance")
     d = results.join(r, ["query_id", "document_uuid"], "left").withColumns({

@@ -163,12 +163,14 @@ def correct_pairs(words: DataFrame, bigrams: DataFrame) -> DataFrame:
     return greedy_cover(hits).drop("n")
 
 
-def score_candidates(words: DataFrame, vocab: DataFrame, k: int = R.SUGGESTION_LIMIT) -> DataFrame:
+def score_candidates(words: DataFrame, vocab: DataFrame) -> DataFrame:
     """(word, predicted_pos, pos_confidence, term, ...): candidates of each distinct unknown word
     with every part of the score that does not depend on neighbours."""
     unknown = words.where(F.col("status") == "unknown").select("word", "predicted_pos", "pos_confidence").distinct()
-    sug = V.suggest(unknown.select(F.col("word").alias("prefix")), vocab, k).where(F.col("distance") <= R.MAX_DISTANCE)
-    c = sug.select(F.col("prefix").alias("word"), "term", F.col("category").alias("c_category"), F.col("rank").alias("c_rank"),
+    row = F.struct("category", "rank", "pos", "distance")
+    sug = (V.fuzzy_candidates(unknown.select("word"), vocab, R.MAX_DISTANCE).where(F.col("distance") <= R.MAX_DISTANCE)
+           .groupBy("word", "term").agg(F.min_by(row, F.struct(-F.col("rank"), F.col("category"))).alias("r")).select("word", "term", "r.*"))
+    c = sug.select("word", "term", F.col("category").alias("c_category"), F.col("rank").alias("c_rank"),
                    F.col("pos").alias("c_pos"), "distance").withColumn("keyboard_distance", keyboard_distance("word", "term"))
     c = unknown.join(c, "word")
     ps = pos_score(F.col("c_pos"), F.col("predicted_pos"), F.col("pos_confidence"))

@@ -10,7 +10,7 @@ from lodestone.functions import text as X
 from lodestone.operators.windows import spread, top_k
 from lodestone.rules import language as R
 
-PREFIX_CHARS = 10  # deletion keys are built on this many leading characters
+PREFIX_CHARS = 16  # deletion keys are built on this many leading characters
 
 
 # ---- table building ------------------------------------------------------------
@@ -152,7 +152,7 @@ def deletion_keys(df: DataFrame, col: str, depth: int) -> DataFrame:
     i, j = F.col("_i"), F.col("_j")
     d = d.withColumn("_j", F.explode(F.when(i == 0, F.sequence(F.lit(0), n)).when(i < n, F.sequence(i + 1, n))))
     head = F.when(i > 0, F.substring("_p", F.lit(1), i - 1)).otherwise("")
-    return d.select(col, F.concat(head, F.substring("_p", i + 1, j - i - 1), F.substring("_p", j + 1, n)).alias("key"))
+    return d.select(col, F.concat(head, F.substring("_p", i + 1, j - i - 1), F.substring("_p", j + 1, n)).alias("key")).distinct()
 
 
 def near_terms(words: DataFrame, terms: DataFrame, depth: int = 2, loose: bool = False) -> DataFrame:
@@ -164,7 +164,7 @@ def near_terms(words: DataFrame, terms: DataFrame, depth: int = 2, loose: bool =
     w, t = deletion_keys(words, "word", depth), deletion_keys(terms, "term", depth)
     lim = 2 * depth if loose else depth
     lev = F.levenshtein(F.col("word"), F.col("term"), lim)
-    met = spread(w, "key").join(spread(t, "key"), "key").where(F.abs(F.length("word") - F.length("term")) <= depth)
+    met = w.join(t, "key").where(F.abs(F.length("word") - F.length("term")) <= depth)
     return (met.select("word", "term", lev.alias("lev")).where(F.col("lev") >= 0).distinct())
 
 
@@ -180,6 +180,10 @@ def fuzzy_candidates(words: DataFrame, vocab: DataFrame, max_distance: int = 2,
     """Terms within one edit of each word, else within two; words of three letters or more."""
     w = words.select("word").distinct().where(F.length("word") >= 3)
     near = near_terms(w, vocab, max_distance)
+    # of several words only the last one varies
+    head = lambda c: F.substring_index(c, " ", -1)
+    fixed = lambda c: F.substring(c, F.lit(1), F.length(c) - F.length(head(c)))
+    near = near.where(~F.col("word").contains(" ") | (fixed(F.col("word")) == fixed(F.col("term"))))
     tier = F.when(F.col("lev") <= 1, 1).otherwise(2)
     best = F.min(tier).over(W.partitionBy("word"))
     out = (near.withColumn("tier", best).where(tier == F.col("tier"))
@@ -292,11 +296,12 @@ def check_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
                         none.cast("string").alias("tiers")).unionByName(bad)
 
 
-def typo_candidates(words: DataFrame, vocab: DataFrame, full: bool = True) -> DataFrame:
+def typo_candidates(words: DataFrame, vocab: DataFrame, full: bool = True, cap: int | None = None) -> DataFrame:
     """Known terms reached from a word by common typing slips.
 
-    ``full`` = neighbour keys, swaps, deletions, vowel changes and, when those
-    give fewer than half the limit, insertions; without it swaps and deletions.
+    ``full`` = neighbour keys, swaps, deletions, vowel changes and insertions;
+    without it swaps and deletions. With ``cap`` at most so many forms of a
+    word are looked up, and insertions only if the others fill less than half.
     """
     w, n = F.col("word"), F.length("word")
     at = F.sequence(F.lit(1), n)
@@ -320,9 +325,8 @@ def typo_candidates(words: DataFrame, vocab: DataFrame, full: bool = True) -> Da
         made = F.array_distinct(F.concat(replaced(near), swaps, drops, replaced(vowels)))
         letters = F.array(*[F.lit(chr(97 + i)) for i in range(26)])
         inserts = F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(letters, lambda c: put(i, c, 0))))
-        made = F.when(F.size(made) < R.MAX_TYPO_CANDIDATES // 2,
-                      F.slice(F.array_distinct(F.concat(made, inserts)), 1, R.MAX_TYPO_CANDIDATES)) \
-            .otherwise(F.slice(made, 1, R.MAX_TYPO_CANDIDATES))
+        every = F.array_distinct(F.concat(made, inserts))
+        made = every if cap is None else F.when(F.size(made) < cap // 2, F.slice(every, 1, cap)).otherwise(F.slice(made, 1, cap))
     cand = words.select("word").distinct().where(n >= 2).select("word", F.explode(F.array_distinct(made)).alias("candidate"))
     return cand.where(F.col("candidate") != "").join(
         vocab.select(F.col("term").alias("candidate")).distinct(), "candidate", "left_semi").select("word", "candidate")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,14 +20,19 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols)
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
-    """First ``k`` rows of each key.
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str | None = None) -> DataFrame:
+    """First ``k`` rows of each key, all of them where ``k`` is None.
 
     ``row_number() <= k`` lets Spark keep only k rows per key and task before
     the shuffle, so a hot key costs k rows per map task, not its full size.
+    Spark does so up to ``spark.sql.window.group.limit.threshold`` (1000); with
+    a larger k, or none, the window sorts the whole key on disk.
     """
+    if k is None and not rank:
+        return df
     name = rank or "_rn"
-    out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+    out = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    out = out if k is None else out.where(F.col(name) <= k)
     return out if rank else out.drop(name)
 
 
@@ -63,11 +71,20 @@ def once_per_ttl(df: DataFrame, keys: list[str], ts: str, ttl: int) -> DataFrame
     event blocks the key for ``ttl`` seconds.
 
     Works on whole seconds. Repeats within a second collapse before the
-    shuffle, so the fold sees at most one value per second of the log.
+    shuffle; then each task walks its keys in time order and keeps nothing but
+    the second accepted last, so a busy key is never held as a whole.
     """
-    secs = df.groupBy(*keys).agg(F.sort_array(F.collect_set(F.unix_timestamp(ts))).alias("_s"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    fold = F.aggregate("_s", zero, lambda a, s: F.when(
-        a["last"].isNull() | (s >= a["last"] + ttl),
-        F.struct(s.alias("last"), F.concat(a["kept"], F.array(s)).alias("kept"))).otherwise(a))
-    return secs.select(*keys, F.explode(fold["kept"]).alias("accepted"))
+    secs = df.where(F.col(ts).isNotNull()).select(*keys, F.unix_timestamp(ts).alias("accepted")).distinct()
+    secs = secs.repartition(*keys).sortWithinPartitions(*keys, "accepted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for b in batches:
+            keep = []
+            for n, (*own, s) in enumerate(zip(*(c.to_pylist() for c in b.columns))):
+                if own != key or s >= last + ttl:
+                    key, last = own, s
+                    keep.append(n)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    return secs.mapInArrow(run, secs.schema)

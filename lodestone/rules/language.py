@@ -66,7 +66,7 @@ POS_GROUPS = {
 # --- fixed values: correction weights and keyboard neighbours ----------------------
 W_DISTANCE, W_KEYBOARD, W_POS_MATCH, W_POS_NEAR = 100, 30, 80, 50
 W_BIGRAM, W_TRIGRAM, W_FREQUENCY, POS_PENALTY = 120, 150, 0.01, -10
-MAX_DISTANCE, MAX_PAIR_DISTANCE, SUGGESTION_LIMIT = 2, 4, 20
+MAX_DISTANCE, MAX_PAIR_DISTANCE = 2, 4
 KEY_NEIGHBOURS = {
     "q": ["w", "a", "s"],
     "w": ["q", "e", "a", "s", "d"],

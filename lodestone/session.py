@@ -51,20 +51,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives executor loss."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a derived table once to the shared folder and read it back.
 
-    For tables that several branches of a job use. The file sizes tell the
-    optimiser what it may broadcast, and a lost executor costs nothing.
+    For tables that several branches of a job use: the plan starts anew there
+    (deep jobs would otherwise be planned again from the first table for every
+    branch), the file sizes tell the optimiser what it may broadcast, and a
+    lost executor costs a task.
     """
     path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -65,7 +65,7 @@ def query_log(t: Tables) -> DataFrame:
             .select("conv_id", "turn", F.posexplode(F.split("text", SENTENCE)).alias("pos", "s"))
             .select(F.concat_ws("-", "conv_id", "turn", "pos").alias("query_id"),
                     F.col("conv_id").alias("session_id"),
-                    X.sanitize_query(F.col("s")).alias("query"))
+                    X.sanitize_query(F.col("s"), cap=None).alias("query"))
             .where(F.col("query") != ""))
 
 
@@ -138,8 +138,8 @@ def vocabulary_by_category(t: Tables) -> DataFrame:
                                        F.lit("noun").alias("pos"))
 
 
-def ngrams(t: Tables, n: int) -> DataFrame:
-    """Adjacent-token n-grams seen at least twice."""
+def ngrams(t: Tables, n: int, least: int = 1) -> DataFrame:
+    """Adjacent-token n-grams seen at least ``least`` times."""
     toks = t.documents.select("lang", X.token_list(F.col("text"), R.MATCH_STOPWORDS).alias("tk"))
     grams = F.when(F.size("tk") >= n, F.transform(
         F.sequence(F.lit(1), F.size("tk") - (n - 1)),
@@ -149,7 +149,7 @@ def ngrams(t: Tables, n: int) -> DataFrame:
             .groupBy("term")
             .agg(F.sum("n").alias("rank"),
                  F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("category"))
-            .where(F.col("rank") >= 2)
+            .where(F.col("rank") >= least)
             .select("term", "category", "rank", F.lit("noun").alias("pos")))
 
 
@@ -233,8 +233,9 @@ def named_vocabulary(t: Tables) -> DataFrame:
                                       "category": category_by_language(F.col("category"))})
 
 
-def named_ngrams(t: Tables, n: int) -> DataFrame:
-    return ngrams(t, n).withColumns({"pos": pos_by_language(F.col("category")),
+def named_ngrams(t: Tables, n: int, least: int = 2) -> DataFrame:
+    """The phrase table of query understanding: a phrase is what occurs at least ``least`` times."""
+    return ngrams(t, n, least).withColumns({"pos": pos_by_language(F.col("category")),
                                      "category": category_by_language(F.col("category"))})
 
 

@@ -40,10 +40,11 @@ _NTZ = {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"}
 class Tables:
     """Attribute access to the tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, text_splits: int | None = None):
+        """``text_splits``: spread the text tables over so many partitions (for a table in one small file)."""
         self.spark = pin_utc(spark)
         self.folder = folder.rstrip("/")
-        self._splits: dict[str, int] = {}
+        self.text_splits = text_splits
 
     def read(self, name: str) -> DataFrame:
         df = (self.spark.read.schema(TABLE_DDL[name])
@@ -51,18 +52,7 @@ class Tables:
         if name in _NTZ:
             c = _NTZ[name]
             df = df.withColumn(c, F.col(c).cast("timestamp"))
-        return self._widen(df, name) if name in _TEXT_KEYS else df
-
-    def _widen(self, df: DataFrame, name: str) -> DataFrame:
-        """Spread a text table that lies in fewer splits than there are cores.
-
-        A table of many files already has more splits than cores and is left
-        as it is, so nothing is shuffled there.
-        """
-        if name not in self._splits:
-            self._splits[name] = df.rdd.getNumPartitions()
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if self._splits[name] >= cores else df.repartition(cores, *_TEXT_KEYS[name])
+        return df.repartition(self.text_splits, *_TEXT_KEYS[name]) if self.text_splits and name in _TEXT_KEYS else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLE_DDL:

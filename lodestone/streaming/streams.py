@@ -9,9 +9,12 @@ same rows give the same result.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.session import shared_dir
 from lodestone.sources.tables import TABLE_DDL, Tables
@@ -38,23 +41,92 @@ def write_event_log(stream: DataFrame, path: str, checkpoint: str):
             .partitionBy("event_date").trigger(availableNow=True).start())
 
 
-def stream_counters(stream: DataFrame, dim: str, watermark: str = COUNTER_WATERMARK) -> DataFrame:
-    """Counts per day and value of a dimension."""
-    return (stream.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day").alias("w"), F.col(dim).alias("value"))
-            .agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "value", "n"))
+def stream_counters(stream: DataFrame, dims: dict[str, Column], watermark: str = COUNTER_WATERMARK) -> DataFrame:
+    """Counts per day and value of each dimension; rows without a value are not counted."""
+    e = F.array(*[F.struct(F.lit(k).alias("dim"), v.cast("string").alias("value")) for k, v in dims.items()])
+    return (stream.withWatermark("ts", watermark).select("ts", F.explode(e).alias("e")).where(F.col("e.value").isNotNull())
+            .groupBy(F.window("ts", "1 day").alias("w"), F.col("e.dim").alias("dim"), F.col("e.value").alias("value"))
+            .agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "dim", "value", "n"))
 
 
-def stream_sessions(stream: DataFrame, who: str, gap: str = "30 minutes", watermark: str = COUNTER_WATERMARK) -> DataFrame:
-    """Sessions closed by inactivity."""
-    return (stream.withWatermark("ts", watermark).groupBy(who, F.session_window("ts", gap).alias("w"))
-            .agg(F.min("ts").alias("started"), F.max("ts").alias("last_active"), F.count("*").alias("n"),
-                 F.count_if(F.col("event_type") == "click").alias("clicks"), F.bool_or(F.col("event_type") == "signup").alias("ended"))
-            .drop("w"))
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The events of one key in one micro-batch, in time order."""
+    return pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
 
 
-def stream_dedupe(stream: DataFrame, keys: list[str], watermark: str = DEDUPE_WATERMARK) -> DataFrame:
-    """First event per key; a key is remembered for the length of the watermark."""
-    return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
+def stream_sessions(stream: DataFrame, who: str, gap_seconds: int, end_event: str | None = None, watermark: str = COUNTER_WATERMARK) -> DataFrame:
+    """Closed sessions (who, started, last_active, n, clicks, ended), each emitted once.
+
+    A session closes with ``end_event``, with the first event after a silence
+    of ``gap_seconds``, or when the watermark has passed its end. State per key
+    is the one open session.
+    """
+    gap = gap_seconds * 1000
+    kind = stream.schema[who].dataType.simpleString()
+
+    def run(key, frames, state: GroupState):
+        out = []
+        if state.hasTimedOut:
+            out.append((*state.get, False))
+            state.remove()
+        else:
+            s, late = state.get if state.exists else None, state.getCurrentWatermarkMs()
+            d = _in_order(frames)
+            for ms, event in zip(d.ts.astype("datetime64[ms]").astype("int64"), d.event_type):
+                if ms < late:  # behind the watermark: its session is closed
+                    continue
+                if s and ms - s[1] >= gap:
+                    out.append((*s, False))
+                    s = None
+                s = (s[0], max(s[1], ms), s[2] + 1, s[3] + (event == "click")) if s else (ms, ms, 1, int(event == "click"))
+                if event == end_event:
+                    out.append((*s, True))
+                    s = None
+            if s and s[1] + gap <= late:
+                out.append((*s, False))
+                s = None
+            if s:
+                state.update(tuple(int(x) for x in s))
+                state.setTimeoutTimestamp(int(s[1] + gap))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=[who, "started_ms", "last_ms", "n", "clicks", "ended"])
+
+    out = (stream.withWatermark("ts", watermark).select(who, "ts", "event_id", "event_type").groupBy(who)
+           .applyInPandasWithState(run, f"{who} {kind}, started_ms long, last_ms long, n long, clicks long, ended boolean",
+                                   "started long, last long, n long, clicks long", "append", GroupStateTimeout.EventTimeTimeout))
+    return out.select(who, F.timestamp_millis("started_ms").alias("started"), F.timestamp_millis("last_ms").alias("last_active"), "n", "clicks", "ended")
+
+
+def stream_dedupe(stream: DataFrame, keys: list[str], ttl_seconds: int = 86400, watermark: str = DEDUPE_WATERMARK) -> DataFrame:
+    """(keys, accepted): events that count; each blocks its key for ``ttl_seconds`` from its own second.
+
+    State per key is the second accepted last; it goes when the watermark has
+    passed the end of the block. The batch form is ``windows.once_per_ttl``.
+    """
+    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out, late = state.get[0] if state.exists else None, [], state.getCurrentWatermarkMs()
+        for ms in _in_order(frames).ts.astype("datetime64[ms]").astype("int64"):
+            if ms < late:
+                continue
+            sec = ms // 1000
+            if last is None or sec >= last + ttl_seconds:
+                last = int(sec)
+                out.append(last)
+        if last is not None and (last + ttl_seconds) * 1000 > late:
+            state.update((last,))
+            state.setTimeoutTimestamp((last + ttl_seconds) * 1000)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(*key, s) for s in out], columns=[*keys, "accepted"])
+
+    return (stream.withWatermark("ts", watermark).select(*keys, "ts", "event_id").groupBy(*keys)
+            .applyInPandasWithState(run, f"{kinds}, accepted long", "last long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
 def stream_rate(stream: DataFrame, who: str, length: str, limit: int, watermark: str = COUNTER_WATERMARK) -> DataFrame:
@@ -95,19 +167,26 @@ def _events(t: Tables) -> DataFrame:
     return event_stream(t.spark, t.folder, glob="events.parquet")
 
 
+def counter_dims() -> dict[str, Column]:
+    """What the daily counters count by: type of event, and mode and query of searches."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    search = F.col("event_type") == "view"
+    return {"event_type": F.col("event_type"), "mode": F.when(search, F.when(k % 2 == 0, "n").otherwise("y")),
+            "query": F.when(search, F.concat(F.lit("query "), k % 25))}
+
+
 def replay_counters(t: Tables) -> DataFrame:
-    return run_to_table(stream_counters(_events(t), "event_type"), "counters", ["day", "value"], "day timestamp, value string, n bigint")
+    return run_to_table(stream_counters(_events(t), counter_dims()), "counters", ["day", "dim", "value"], "day timestamp, dim string, value string, n bigint")
 
 
-def replay_sessions(t: Tables, gap: str) -> DataFrame:
-    s = stream_sessions(_events(t), "user_id", gap).drop("last_active", "ended")
-    # session windows cannot be updated in place; the replay keeps every session and writes the full result
-    return run_to_table(s, "sessions", ["user_id", "started"], "user_id bigint, started timestamp, n bigint, clicks bigint", "complete")
+def replay_sessions(t: Tables, gap_seconds: int, end_event: str | None = None) -> DataFrame:
+    return run_to_table(stream_sessions(_events(t), "user_id", gap_seconds, end_event), "sessions", ["user_id", "started"],
+                        "user_id bigint, started timestamp, last_active timestamp, n bigint, clicks bigint, ended boolean", "append")
 
 
-def replay_dedupe(t: Tables) -> DataFrame:
-    s = stream_dedupe(_events(t), ["user_id", "event_type", "event_date"]).select("user_id", "event_type", "event_date", F.lit(1).alias("one"))
-    return run_to_table(s, "dedupe", ["user_id", "event_type", "event_date"], "user_id bigint, event_type string, event_date date, one int", "append")
+def replay_dedupe(t: Tables, ttl_seconds: int = 86400) -> DataFrame:
+    s = stream_dedupe(_events(t), ["user_id", "event_type"], ttl_seconds).withColumn("one", F.lit(1))
+    return run_to_table(s, "dedupe", ["user_id", "event_type", "accepted"], "user_id bigint, event_type string, accepted bigint, one int", "append")
 
 
 def replay_rate(t: Tables, length: str, limit: int) -> DataFrame:
