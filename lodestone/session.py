@@ -21,6 +21,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     """A session for tests and benches; a cluster brings its own."""
     b = (SparkSession.builder.master(master).appName(app)
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+         .config("spark.lodestone.textSplits", str(shuffle_partitions))
          .config("spark.driver.memory", memory)
          .config("spark.ui.enabled", "false")
          .config("spark.sql.streaming.metricsEnabled", "false"))

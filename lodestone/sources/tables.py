@@ -41,10 +41,14 @@ class Tables:
     """Attribute access to the tables of one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str, text_splits: int | None = None):
-        """``text_splits``: spread the text tables over so many partitions (for a table in one small file)."""
+        """``text_splits`` spreads the text tables over so many partitions, for tables that lie in one small file.
+
+        Without it the session's setting ``spark.lodestone.textSplits`` holds;
+        where that is unset too, as on a cluster, nothing is shuffled.
+        """
         self.spark = pin_utc(spark)
         self.folder = folder.rstrip("/")
-        self.text_splits = text_splits
+        self.text_splits = text_splits or int(self.spark.conf.get("spark.lodestone.textSplits", "0"))
 
     def read(self, name: str) -> DataFrame:
         df = (self.spark.read.schema(TABLE_DDL[name])
