@@ -22,6 +22,8 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+#: Length up to which the distinct words asked for grow in proportion.
+VOCABULARY_WORDS = 2000
 #: Documents on which the rules are timed; the order of the rules is all that depends on it.
 SAMPLE_ROWS = 1000
 _BLANK = " \t\n\x0b\x0c\r"
@@ -100,6 +102,11 @@ def repeated_windows(f: Features) -> bool:
     return 100 * f.n_repeat_words > MAX_REPEATED_PERCENT * f.n_words
 
 
+def few_distinct_words(f: Features) -> bool:
+    """Distinct words below a twentieth of all up to ``VOCABULARY_WORDS``; beyond, what is asked for grows with the square root of the length, as the vocabulary of prose does."""
+    return (20 * f.n_distinct) ** 2 < f.n_words * min(f.n_words, VOCABULARY_WORDS)
+
+
 #: What a document must pass in any case.
 BASE: dict[str, Callable[[Features], bool]] = {"few_words": few_words, "repeated_windows": repeated_windows}
 #: What the method adds; each is true if the document is to be rejected.
@@ -110,7 +117,7 @@ RULES: dict[str, Callable[[Features], bool]] = {
     "shouting": lambda f: f.n_upper > f.n_lower,
     "duplicate_lines": lambda f: 2 * f.n_dup_lines > len(f.lines),
     "stutter": lambda f: 10 * f.n_stutter > 3 * f.n_words,
-    "few_distinct_words": lambda f: f.n_words <= 2000 and 20 * f.n_distinct < f.n_words,
+    "few_distinct_words": few_distinct_words,
 }
 
 
