@@ -23,9 +23,11 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told (no letter at all, or no text); fills in a missing ``lang``."""
+    """Drops documents without a letter or a text; fills in a missing ``lang``, by ``und`` where no document can teach."""
     lang, score = free_names(docs, "_lang", "_score")
-    found = language.identify(docs, language.train(docs), into=(lang, score)).where(F.col(lang) != language.UNDETERMINED)
+    model = language.train(docs)
+    told = language.has_letter(F.col("text")) if model is None else F.col(lang) != language.UNDETERMINED
+    found = language.identify(docs, model, into=(lang, score)).where(told)
     return found.select(*(F.coalesce("lang", lang).alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
 

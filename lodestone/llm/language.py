@@ -22,6 +22,8 @@ BITS = 13
 NGRAMS = (1, 2, 3)
 #: Labelled documents that the machines are fitted on, over all languages.
 TRAIN_ROWS = 1000
+#: Texts of a language that pass the training filter beyond four times the number taken.
+SPARE = 64
 EPOCHS = 12
 COST = 4.0
 #: Slope of the logistic curve that turns the smallest margin into a score.
@@ -137,19 +139,27 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model | None:
     """Model of at most ``rows`` documents that are not held out, the same number of distinct texts from each language.
 
     Which ones is decided by a hash of the text: a share of each language that
-    holds enough is kept by a filter, the smallest hashes of it are taken.
+    holds enough is kept by a filter, the smallest hashes of it are taken. All
+    copies of a text pass or fail together, so the share is that of the distinct
+    texts with a letter; ``SPARE`` keeps it wide enough where few are taken.
     """
-    usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    usable = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
+    h = F.xxhash64(F.lit(11), text_col)
+    distinct = usable.groupBy(F.col(lang_col).alias("lang"), h.alias("h")).agg(F.lit(1).alias("one"))
+    sizes = {r[0]: r[1] for r in distinct.groupBy("lang").count().collect()}
     if not sizes:
         return None
     each = max(1, rows // len(sizes))
-    h = F.xxhash64(F.lit(11), text_col)
-    share = sum((F.when(F.col(lang_col) == v, F.lit(min(1.0, 4 * each / n))).otherwise(0.0) for v, n in sizes.items()), F.lit(0.0))
+    share = sum((F.when(F.col(lang_col) == v, F.lit(min(1.0, (4 * each + SPARE) / n))).otherwise(0.0) for v, n in sizes.items()), F.lit(0.0))
     some = (usable.where(F.pmod(h, F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), h.alias("h"))
             .groupBy("lang", "h").agg(F.min("t").alias("t"))
             .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("k") <= each))
