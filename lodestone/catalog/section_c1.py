@@ -132,6 +132,30 @@ def c24(t):
                     c("tier").cast("bigint").alias("tier"), "tiers", c("position").cast("bigint").alias("position"))
 
 
+def _fuzzy(k):
+    """Suggestions of all three tiers: two(prefix, term, category, rank, distance, tier)."""
+    return f"""{_TIERS.format(k=k)},
+short AS (SELECT prefix AS word FROM prefixes LEFT JOIN (SELECT prefix, count(*) AS n FROM one GROUP BY 1) USING (prefix) WHERE coalesce(n, 0) < {k} AND length(prefix) >= 3),
+{S.near('short', 'word', 'vc')},
+m AS (SELECT word, min(CASE WHEN lev <= 1 THEN 1 ELSE 2 END) AS best FROM near GROUP BY 1),
+fz AS (SELECT near.word AS prefix, near.term, category, rank, distance FROM near JOIN m USING (word) JOIN vc USING (term)
+  WHERE CASE WHEN lev <= 1 THEN 1 ELSE 2 END = best QUALIFY row_number() OVER (PARTITION BY near.word ORDER BY rank DESC, near.term, category) <= {2 * k}),
+two AS (SELECT * FROM (SELECT prefix, term, category, rank, distance, tier FROM one UNION ALL SELECT prefix, term, category, rank, distance, 3 FROM fz)
+  QUALIFY row_number() OVER (PARTITION BY prefix, term ORDER BY tier, rank DESC, category) = 1)"""
+
+
+# c24 with its third tier
+@query("c24_suggest_fuzzy", f"""
+WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_PREFIXED}, {_fuzzy(5)},
+used AS (SELECT prefix, concat_ws('+', CASE WHEN bool_or(tier = 1) THEN 'exact' END, CASE WHEN bool_or(tier = 2) THEN 'prefix' END, CASE WHEN bool_or(tier = 3) THEN 'fuzzy' END) AS tiers FROM two GROUP BY 1)
+SELECT prefix, term, category, rank, distance, tier, tiers, row_number() OVER w AS position FROM two JOIN used USING (prefix)
+WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= 5""")
+def c24_fuzzy(t):
+    s = O.suggest(M.typed_prefixes(t), M.vocabulary_by_category(t), 5)
+    return s.select("prefix", "term", "category", "rank", c("distance").cast("bigint").alias("distance"),
+                    c("tier").cast("bigint").alias("tier"), "tiers", c("position").cast("bigint").alias("position"))
+
+
 # every question is looked up by its first three words, the third one cut to a prefix
 _QP = f"""qp AS (SELECT item_id, text, {S.raw_tokens('text')} AS tk FROM benchmark),
 pf AS (SELECT DISTINCT tk[1] || ' ' || tk[2] || ' ' || substring(tk[3], 1, 2) AS prefix, tk[1] AS a, tk[2] AS b, substring(tk[3], 1, 2) AS k FROM qp)"""
@@ -169,6 +193,23 @@ def c26(t):
     return a.withColumn("position", c("position").cast("bigint"))
 
 
+# c26 with the third tier of its terms
+@query("c26_autocomplete_fuzzy", f"""
+WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_QP}, {_PREFIXED}, {_fuzzy(10)},
+ta AS (SELECT prefix, 'term' AS kind, term AS text, rank, row_number() OVER w AS position FROM two WHERE length(prefix) >= 2
+  WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= CASE WHEN prefix IN {S.in_list(R.INTERROGATIVES)} THEN 7 ELSE 10 END),
+asks AS (SELECT 'is ' || prefix AS prefix, prefix AS k FROM prefixes
+  UNION ALL SELECT prefix, prefix FROM prefixes WHERE prefix IN {S.in_list(R.INTERROGATIVES)})
+SELECT * FROM ta UNION ALL
+SELECT prefix, 'question', text, length(text), 10 + row_number() OVER w FROM asks JOIN qp ON (prefix = k OR list_contains(tk, 'is')) AND len(list_filter(tk, lambda x: starts_with(x, k))) > 0
+WINDOW w AS (PARTITION BY prefix ORDER BY length(text) DESC, item_id) QUALIFY row_number() OVER w <= 3""")
+def c26_fuzzy(t):
+    p = M.typed_prefixes(t)
+    p = p.unionAll(p.select(F.concat(F.lit("is "), "prefix")))
+    a = O.autocomplete(p, M.vocabulary_by_category(t), M.scored_questions(t), 10)
+    return a.withColumn("position", c("position").cast("bigint"))
+
+
 @query("c27_check_words", f"""
 WITH {S.QWORDS}, {S.VOCTOK}, {VBYCAT}, w AS (SELECT DISTINCT word FROM qwords), miss AS (SELECT word AS prefix, word FROM w WHERE word NOT IN (SELECT term FROM vc)),
 prefixes AS (SELECT prefix FROM miss), {_PREFIXED},
