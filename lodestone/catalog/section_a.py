@@ -192,6 +192,17 @@ def a14(t):
     return O.fetch_by_ids(t.documents.select("doc_id", "lang", "n_chars"), r, "doc_id").select("qid", "pos", "doc_id", "lang", "n_chars")
 
 
+# a14 with ids spread over all documents
+@query("a14_fetch_by_ids_all", f"""
+WITH {S.EVENTS}, r AS (SELECT user_id AS qid, event_id // 10 AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev WHERE event_type = 'click')
+SELECT qid, pos, doc_id, lang, n_chars FROM r JOIN documents USING (doc_id)""")
+def a14_all(t):
+    from pyspark.sql import Window as W
+    r = M.clicks(t).select(c("user_id").alias("qid"), F.expr("event_id div 10").alias("doc_id"),
+                           F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("pos"))
+    return O.fetch_by_ids(t.documents.select("doc_id", "lang", "n_chars"), r, "doc_id").select("qid", "pos", "doc_id", "lang", "n_chars")
+
+
 @query("a15_search_events", rf"""
 WITH {S.SEARCHES}, q AS (SELECT *, ' Query ' || k || '  text ' AS qtext, CASE WHEN k % 4 = 0 THEN 'query fixed' ELSE '' END AS fixed FROM searches)
 SELECT event_id, substring({S.strip('lower(qtext)')}, 1, 500) AS query_normalized, substring(md5(substring({S.strip('lower(qtext)')}, 1, 500)), 1, 12) AS query_hash,

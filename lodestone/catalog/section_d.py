@@ -81,15 +81,8 @@ def d04(t):
     return _rank(r.select("query_id", "candidate_rank", "document_uuid", *[F.md5(x).alias(x) if x == "document_summary" else c(x) for x in _META], *lists), "candidate_rank")
 
 
-# suppliers asked for by place: a request per customer nation, for the nation or its region
-@query("d05_place_filters", """
-WITH sup AS (SELECT s_suppkey, n_name AS city, r_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'business' ELSE 'place' END AS dtype, 'cat' || (s_suppkey % 3) AS category
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-req AS (SELECT n_nationkey AS rid, n_name AS city, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT CAST(rid AS VARCHAR) AS query_id, CAST(s_suppkey AS VARCHAR) AS document_uuid FROM req JOIN sup
-ON (CASE rid % 3 WHEN 0 THEN sup.city = req.city WHEN 1 THEN sup.state = req.state ELSE rid % 5 = s_suppkey % 5 OR dtype = 'business' END)
-  AND (rid % 2 = 1 OR dtype = 'business') AND (rid % 4 <> 1 OR category = 'cat1')""")
-def d05(t):
+def _place_requests(t, none_key, none_keys):
+    """Requests over suppliers; one without a place asks ``none_key``, a supplier carries ``none_keys`` for it."""
     place = t.nation.join(t.region, c("n_regionkey") == c("r_regionkey"))
     rid, none = c("n_nationkey"), F.array().cast("array<string>")
     sup = t.supplier.join(place, c("s_nationkey") == rid).select(
@@ -99,16 +92,41 @@ def d05(t):
                         F.when(rid % 3 == 1, F.array("r_name")).otherwise(none).alias("state_variants"),
                         (rid % 3 != 2).alias("filters_place"), F.when(rid % 2 == 0, "business").alias("required_type"),
                         F.when(rid % 4 == 1, F.array(F.lit("cat1"))).otherwise(none).alias("chosen_category"))
-    # each request meets the suppliers of its place; a request without a place, those of its number and all businesses
+    # each request meets the suppliers of its place; a request without a place, those of its key
     key = F.when(rid % 3 == 0, F.array(F.concat(F.lit("c"), "n_name"))).when(rid % 3 == 1, F.array(F.concat(F.lit("s"), "r_name"))) \
-        .otherwise(F.array(F.concat(F.lit("n"), rid % 5), F.lit("b")))
-    keys = F.array(F.concat(F.lit("c"), "location_city"), F.concat(F.lit("s"), "location_state"), F.concat(F.lit("n"), c("s_suppkey") % 5),
-                   F.when(c("document_data_type") == "business", "b"))
+        .otherwise(none_key(rid))
+    keys = F.array(F.concat(F.lit("c"), "location_city"), F.concat(F.lit("s"), "location_state"), *none_keys)
     req = place.select(rid.cast("string").alias("query_id"), F.explode(key).alias("key"))
     cand = req.join(sup.withColumn("key", F.explode(F.array_compact(keys))), "key").drop("key").distinct()
     return O.apply_filters(cand.withColumn("document_uuid", c("s_suppkey").cast("string")), prof).select("query_id", "document_uuid")
 
 
+# suppliers asked for by place: a request per customer nation, for the nation or its region
+@query("d05_place_filters", """
+WITH sup AS (SELECT s_suppkey, n_name AS city, r_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'business' ELSE 'place' END AS dtype, 'cat' || (s_suppkey % 3) AS category
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+req AS (SELECT n_nationkey AS rid, n_name AS city, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(rid AS VARCHAR) AS query_id, CAST(s_suppkey AS VARCHAR) AS document_uuid FROM req JOIN sup
+ON (CASE rid % 3 WHEN 0 THEN sup.city = req.city WHEN 1 THEN sup.state = req.state ELSE rid % 5 = s_suppkey % 5 OR dtype = 'business' END)
+  AND (rid % 2 = 1 OR dtype = 'business') AND (rid % 4 <> 1 OR category = 'cat1')""")
+def d05(t):
+    # those of its number and all businesses
+    return _place_requests(t, lambda rid: F.array(F.concat(F.lit("n"), rid % 5), F.lit("b")),
+                           [F.concat(F.lit("n"), c("s_suppkey") % 5), F.when(c("document_data_type") == "business", "b")])
+
+
+# d05 with every supplier for a request without a place: at most 25 requests, so the output is linear in supplier
+@query("d05_place_filters_all", """
+WITH sup AS (SELECT s_suppkey, n_name AS city, r_name AS state, CASE WHEN s_suppkey % 2 = 0 THEN 'business' ELSE 'place' END AS dtype, 'cat' || (s_suppkey % 3) AS category
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+req AS (SELECT n_nationkey AS rid, n_name AS city, r_name AS state FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(rid AS VARCHAR) AS query_id, CAST(s_suppkey AS VARCHAR) AS document_uuid FROM req JOIN sup
+ON (CASE rid % 3 WHEN 0 THEN sup.city = req.city WHEN 1 THEN sup.state = req.state ELSE true END)
+  AND (rid % 2 = 1 OR dtype = 'business') AND (rid % 4 <> 1 OR category = 'cat1')""")
+def d05_all(t):
+    return _place_requests(t, lambda rid: F.array(F.lit("a")), [F.lit("a")])
+
+
 # --- synonym rules of the fixture: one way only
 SYN = [("red", "crimson"), ("bolt", "screw"), ("widget", "gadget"), ("small", "tiny"), ("cold", "icy"), ("ring", "band"), ("large", "big")]
 

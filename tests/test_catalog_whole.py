@@ -10,3 +10,15 @@ def test_suggestions_reach_the_fuzzy_tier(spark, data):
     more = {(r.prefix, r.text) for r in entry.queries()["c26_autocomplete_fuzzy"](spark, data).collect()}
     less = {(r.prefix, r.text) for r in entry.queries()["c26_autocomplete"](spark, data).collect()}
     assert more - less
+
+
+def test_request_without_a_place_meets_every_supplier(spark, data):
+    suppliers = {str(r.s_suppkey) for r in spark.read.parquet(f"{data}/supplier.parquet").collect()}
+    got = [r.document_uuid for r in entry.queries()["d05_place_filters_all"](spark, data).where("query_id = '11'").collect()]
+    assert set(got) == suppliers and len(got) == len(suppliers)
+
+
+def test_ids_are_fetched_from_all_documents(spark, data):
+    got = {r.doc_id for r in entry.queries()["a14_fetch_by_ids_all"](spark, data).collect()}
+    less = {r.doc_id for r in entry.queries()["a14_fetch_by_ids"](spark, data).collect()}
+    assert max(less) < 100 and len(got - less) > 5
