@@ -8,9 +8,11 @@ same rows give the same result.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from lodestone.sources.tables import TABLE_DDL, Tables
 
 COUNTER_WATERMARK = "1 hour"
 DEDUPE_WATERMARK = "24 hours"
+#: Events of one key that are sorted in memory at once; more are merged from runs on local disk.
+RUN_ROWS = 1 << 18
 
 
 def event_stream(spark: SparkSession, folder: str, ddl: str = TABLE_DDL["events"], files_per_trigger: int | None = None,
@@ -49,9 +53,48 @@ def stream_counters(stream: DataFrame, dims: dict[str, Column], watermark: str =
             .agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "dim", "value", "n"))
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The events of one key in one micro-batch, in time order."""
-    return pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort((rows["id"], rows["ms"]))]
+
+
+def _merged(runs: list[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+    """Sorted runs as sorted stretches, with about ``rows`` rows of all runs in memory."""
+    at, block = [0] * len(runs), max(1, rows // len(runs))
+    while live := [k for k, r in enumerate(runs) if at[k] < len(r)]:
+        ends = [r[min(at[k] + block, len(r)) - 1] for k, r in ((k, runs[k]) for k in live)]
+        ms, last = min((int(e["ms"]), int(e["id"])) for e in ends)
+        parts = []
+        for k in live:
+            part = np.array(runs[k][at[k]:at[k] + block])
+            part = part[(part["ms"] < ms) | ((part["ms"] == ms) & (part["id"] <= last))]
+            at[k] += len(part)
+            parts.append(part)
+        yield _sorted(np.concatenate(parts))
+
+
+def _in_order(frames: Iterator[pd.DataFrame], rows: int | None = None) -> Iterator[np.ndarray]:
+    """The events of one key in one micro-batch in time order, as stretches of ms, id and kind.
+
+    Beyond ``rows`` events (``RUN_ROWS``) sorted runs go to local disk and are
+    merged in blocks, so a key of any size needs the memory of one run.
+    """
+    rows, held, n, runs = rows or RUN_ROWS, [], 0, []
+    with tempfile.TemporaryDirectory(prefix="lodestone-run-") as folder:
+        for d in frames:
+            part = np.empty(len(d), dtype=[("ms", "i8"), ("id", "i8"), ("kind", "i1")])
+            part["ms"] = d.ts.astype("datetime64[ms]").astype("int64")
+            part["id"] = d.event_id.astype("Int64").fillna(np.iinfo(np.int64).max)
+            part["kind"] = d.kind if "kind" in d else 0
+            held, n = [*held, part], n + len(part)
+            if n >= rows:
+                np.save(f"{folder}/{len(runs)}.npy", _sorted(np.concatenate(held)))
+                runs.append(np.load(f"{folder}/{len(runs)}.npy", mmap_mode="r"))
+                held, n = [], 0
+        if n:
+            runs.append(_sorted(np.concatenate(held)))
+        del held
+        if runs:
+            yield from _merged(runs, rows)
 
 
 def stream_sessions(stream: DataFrame, who: str, gap_seconds: int, end_event: str | None = None, watermark: str = COUNTER_WATERMARK) -> DataFrame:
@@ -71,17 +114,18 @@ def stream_sessions(stream: DataFrame, who: str, gap_seconds: int, end_event: st
             state.remove()
         else:
             s, late = state.get if state.exists else None, state.getCurrentWatermarkMs()
-            d = _in_order(frames)
-            for ms, event in zip(d.ts.astype("datetime64[ms]").astype("int64"), d.event_type):
-                if ms < late:  # behind the watermark: its session is closed
-                    continue
-                if s and ms - s[1] >= gap:
-                    out.append((*s, False))
-                    s = None
-                s = (s[0], max(s[1], ms), s[2] + 1, s[3] + (event == "click")) if s else (ms, ms, 1, int(event == "click"))
-                if event == end_event:
-                    out.append((*s, True))
-                    s = None
+            for rows in _in_order(frames):
+                for ms, event in zip(rows["ms"].tolist(), rows["kind"].tolist()):
+                    if ms < late:  # behind the watermark: its session is closed
+                        continue
+                    if s and ms - s[1] >= gap:
+                        out.append((*s, False))
+                        s = None
+                    click = event & 1
+                    s = (s[0], max(s[1], ms), s[2] + 1, s[3] + click) if s else (ms, ms, 1, click)
+                    if event & 2:
+                        out.append((*s, True))
+                        s = None
             if s and s[1] + gap <= late:
                 out.append((*s, False))
                 s = None
@@ -92,7 +136,11 @@ def stream_sessions(stream: DataFrame, who: str, gap_seconds: int, end_event: st
                 state.remove()
         yield pd.DataFrame([(key[0], *r) for r in out], columns=[who, "started_ms", "last_ms", "n", "clicks", "ended"])
 
-    out = (stream.withWatermark("ts", watermark).select(who, "ts", "event_id", "event_type").groupBy(who)
+    # bit 1: a click; bit 2: the event that ends a session
+    bit = F.col("event_type").eqNullSafe("click").cast("byte")
+    if end_event is not None:
+        bit = (bit + 2 * F.col("event_type").eqNullSafe(end_event).cast("byte")).cast("byte")
+    out = (stream.withWatermark("ts", watermark).select(who, "ts", "event_id", bit.alias("kind")).groupBy(who)
            .applyInPandasWithState(run, f"{who} {kind}, started_ms long, last_ms long, n long, clicks long, ended boolean",
                                    "started long, last long, n long, clicks long", "append", GroupStateTimeout.EventTimeTimeout))
     return out.select(who, F.timestamp_millis("started_ms").alias("started"), F.timestamp_millis("last_ms").alias("last_active"), "n", "clicks", "ended")
@@ -111,13 +159,11 @@ def stream_dedupe(stream: DataFrame, keys: list[str], ttl_seconds: int = 86400,
             state.remove()
             return
         last, out, late = state.get[0] if state.exists else None, [], state.getCurrentWatermarkMs()
-        for ms in _in_order(frames).ts.astype("datetime64[ms]").astype("int64"):
-            if ms < late:
-                continue
-            sec = ms // 1000
-            if last is None or sec >= last + ttl_seconds:
-                last = int(sec)
-                out.append(last)
+        for rows in _in_order(frames):
+            for sec in np.unique(rows["ms"][rows["ms"] >= late] // 1000).tolist():
+                if last is None or sec >= last + ttl_seconds:
+                    last = sec
+                    out.append(last)
         if last is not None and (last + ttl_seconds) * 1000 > late:
             state.update((last,))
             state.setTimeoutTimestamp((last + ttl_seconds) * 1000)
