@@ -168,12 +168,12 @@ def whole_patterns(demand: np.ndarray, units: int) -> list[tuple[np.ndarray, int
     """Patterns with whole multiplicities that hold exactly the demand."""
     left, out = demand.copy(), Counter()
     for p, x in column_generation(demand, units):
-        # rounding to the nearest is kept where it takes no more items than there are
-        for k in (int(x + 0.5), int(x)):
-            if k and (left >= k * p).all():
-                out[tuple(p)] += k
-                left -= k * p
-                break
+        # to the nearest, or as often as the items last: what is left is bounded by the number of patterns
+        used = p > 0
+        k = min(int(x + 0.5), int((left[used] // p[used]).min()))
+        if k > 0:
+            out[tuple(p)] += k
+            left -= k * p
     for p in best_fit(left, units):
         out[tuple(p)] += 1
     return [(np.array(p, dtype=np.int64), k) for p, k in out.items()]
