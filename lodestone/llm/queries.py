@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, embed_dedup, html_extract, language, line_dedup, packing, pii, quality, sharding, simhash
+from lodestone.llm import bpe, chat, embed_dedup, html_extract, language, lexical, line_dedup, packing, pii, quality, sharding, simhash, spelling
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,5 +65,22 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(_documents(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op4_html_extraction, op5_pii, op6_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_quality_rules)}
-SQL: dict[str, str] = {"op1_embedding_near_dedup": embed_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL}
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op12_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], rows.schema)
+    out = chat.conversations(chat.as_messages(rows.unionByName(extra)))
+    return out.mapInArrow(chat.digest, chat.DIGEST).select(
+        F.split("path", ":")[0].try_cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_documents(spark, folder))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_sharding, op3_bpe, op4_html_extraction, op5_pii, op6_packing, op7_line_dedup, op8_language_id, op9_simhash_near_dedup, op10_quality_rules, op11_lexical_search, op12_chat_formatting, op13_spelling_variants)}
+SQL: dict[str, str] = {"op1_embedding_near_dedup": embed_dedup.SQL, "op7_line_dedup": line_dedup.SQL, "op10_quality_rules": quality.SQL, "op11_lexical_search": lexical.SQL, "op12_chat_formatting": chat.SQL, "op13_spelling_variants": spelling.SQL}
