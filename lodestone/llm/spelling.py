@@ -138,7 +138,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return roots(judged, ratio).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-#: Finds near words by the strings that a single deletion leaves, not by chunks.
+#: Finds near words by what is left without one letter: of two words at the same place, or of one word the other.
 SQL = r"""
 WITH RECURSIVE t0 AS (SELECT range AS b, range::BIGINT AS c FROM range(256)),
 t1 AS (SELECT b, list_reduce([c] || range(8)::BIGINT[], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM t0),
@@ -150,8 +150,10 @@ bytes AS (SELECT run, n, list_transform(range(length(x) // 2), lambda i: ('0x' |
 hashed AS (SELECT run, n, xor(list_reduce([4294967295::BIGINT] || bs, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
 made AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
 words AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
-keys AS (SELECT DISTINCT word, n, unnest([word] || list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT))) AS k FROM words),
-near AS (SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.k = b.k AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+cuts AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+keys AS (SELECT word, n, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS k FROM cuts),
+near AS (SELECT a.word, b.word AS other, b.n AS other_n FROM keys a JOIN keys b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, k.word, k.n FROM words w JOIN keys k ON k.k = w.word UNION SELECT k.word, w.word, w.n FROM words w JOIN keys k ON k.k = w.word),
 best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
 forms AS MATERIALIZED (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 10 * w.n THEN (SELECT min(x.other) FROM near x WHERE x.word = w.word AND x.other_n = b.top) END AS form,
   CASE WHEN b.top >= 10 * w.n THEN b.top END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word),
