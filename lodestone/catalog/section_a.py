@@ -86,6 +86,17 @@ def a05(t):
 _NVC = f"nvc AS (SELECT term, {S._by_lang('lang', S.CAT_LANG)} AS category, n AS rank FROM voctok)"
 
 
+# the stored vocabulary and phrase tables; the first query of a session that needs one builds it
+@query("a05_build_vocabulary", f"""
+WITH {S.VOCTOK}, {S.ngrams(2, 'bi', 2)}, {S.ngrams(3, 'tri', 2)}
+SELECT 'vocabulary' AS part, count(*) AS n, CAST(sum(n) AS BIGINT) AS occurrences FROM voctok UNION ALL SELECT 'bigrams', count(*), CAST(sum(rank) AS BIGINT) FROM bi
+UNION ALL SELECT 'trigrams', count(*), CAST(sum(rank) AS BIGINT) FROM tri""")
+def a05_build(t):
+    tables = {"vocabulary": M.vocabulary_tokens(t).withColumnRenamed("n", "rank"), "bigrams": M.ngrams(t, 2, 2), "trigrams": M.ngrams(t, 3, 2)}
+    parts = [d.agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("occurrences")).select(F.lit(k).alias("part"), "n", "occurrences") for k, d in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("a06_vocab_status", f"""
 WITH {S.VOCTOK}, {_NVC}, p AS (SELECT term, count(*) AS n, count(DISTINCT category) AS k, bool_or(category = 'US City') AS ci, bool_or(category = 'US State') AS st FROM nvc GROUP BY 1)
 SELECT CAST(sum(n) AS BIGINT) AS entries, count(*) AS terms, count(*) FILTER (ci) AS cities, count(*) FILTER (st) AS states, count(*) FILTER (ci OR st) AS locations,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog import sqlkit as S
 from lodestone.catalog.registry import query
 from lodestone.functions import text as X
+from lodestone.operators import index as IX
 from lodestone.operators import retrieve as O
 from lodestone.rules import fixed as RF
 from lodestone.rules import scoring as R
@@ -23,9 +24,20 @@ def _rank(df, col="rank"):
     return df.withColumn(col, c(col).cast("bigint"))
 
 
+# what the stored index holds; the first query of a session that needs the index builds it
+@query("d01_build_index", f"""
+WITH {S.DOCS}, {S.POST}, tk AS (SELECT token, count(*) AS df, max(weight) AS top FROM post GROUP BY 1)
+SELECT weight, count(DISTINCT token) AS tokens, count(*) AS postings, CAST(max(df) AS BIGINT) AS most_documents FROM post JOIN tk USING (token) GROUP BY 1""")
+def d01_build(t):
+    index = M.keyword_index(t)
+    terms = index.terms().select("token", "df")
+    return index.heads.groupBy("token", "weight").agg(F.sum("n").alias("n")).join(terms, "token").groupBy("weight").agg(
+        F.count(F.lit(1)).alias("tokens"), F.sum("n").alias("postings"), F.max("df").alias("most_documents"))
+
+
 @query("d01_keyword_candidates", f"WITH {S.CAND} SELECT query_id, document_uuid, text_match, candidate_rank FROM cand")
 def d01(t):
-    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t)), "candidate_rank")
+    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), index=M.keyword_index(t)), "candidate_rank")
 
 
 def _cut(src, col):
@@ -43,7 +55,7 @@ al AS (SELECT query_id, document_uuid, CAST(sum(w) AS BIGINT) AS text_match FROM
 SELECT query_id, document_uuid, text_match, row_number() OVER (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, document_uuid) AS candidate_rank
 FROM al JOIN docs USING (document_uuid)""")
 def d02(t):
-    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), num_typos=1), "candidate_rank")
+    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), num_typos=1, index=M.keyword_index(t)), "candidate_rank")
 
 
 _ORD = S.token_list("query")
@@ -61,7 +73,7 @@ al AS (SELECT query_id, document_uuid, text_match FROM ph JOIN pick USING (query
 SELECT query_id, document_uuid, text_match, row_number() OVER w AS candidate_rank FROM al JOIN docs USING (document_uuid)
 WINDOW w AS (PARTITION BY query_id ORDER BY text_match DESC, authority_rank_score DESC, document_uuid)""")
 def d03(t):
-    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), drop_tokens=2), "candidate_rank")
+    return _rank(O.keyword_candidates(M.query_log(t), M.documents(t), drop_tokens=2, index=M.keyword_index(t)), "candidate_rank")
 
 
 _META = ["document_data_type", "document_category", "document_schema", "document_title", "primary_subject_name", "primary_subject_type", "primary_subject_confidence",
@@ -75,7 +87,7 @@ WITH {S.CAND} SELECT query_id, candidate_rank, document_uuid, {', '.join(x for x
 FROM cand JOIN docs USING (document_uuid)""")
 def d04(t):
     d = M.documents(t)
-    r = O.attach_metadata(O.keyword_candidates(M.query_log(t), d), d)
+    r = O.attach_metadata(O.keyword_candidates(M.query_log(t), d, index=M.keyword_index(t)), d)
     # long texts and lists are compared by their hashes
     lists = [F.md5(F.array_join(F.array_sort(x) if x == "primary_keywords" else x, "|")).alias(x) for x in _META_LISTS]
     return _rank(r.select("query_id", "candidate_rank", "document_uuid", *[F.md5(x).alias(x) if x == "document_summary" else c(x) for x in _META], *lists), "candidate_rank")
@@ -227,11 +239,10 @@ WITH {S.CAND}, {_QHITS}, k AS (SELECT query_id, document_uuid, candidate_rank AS
   FROM k FULL JOIN qh q ON k.query_id = q.query_id AND k.document_uuid = q.document_uuid)
 SELECT query_id, document_uuid, source, row_number() OVER (PARTITION BY query_id ORDER BY source, coalesce(kr, qr), document_uuid) AS candidate_rank FROM j""")
 def d11(t):
-    d = M.documents(t)
-    post = materialize(O.postings(d), "postings")
-    kw = O.keyword_candidates(M.query_log(t), d, post=post)
+    d, index = M.documents(t), M.keyword_index(t)
+    kw = O.keyword_candidates(M.query_log(t), d, index=index)
     q = O.query_tokens(M.query_log(t))
-    hits = q.select("query_id", "token_key").join(O.search_sets(q, post), "token_key")
+    hits = q.select("query_id", "token_key").join(IX.all_hits(q, index), "token_key")
     qn = O.top_k(hits, ["query_id"], [F.asc("text_match"), F.desc("document_uuid")], None, rank="candidate_rank")
     return _rank(O.merge_candidates(kw, qn).select("query_id", "document_uuid", c("source").cast("bigint").alias("source"), "candidate_rank"), "candidate_rank")
 
@@ -250,7 +261,7 @@ def _vectors(t):
 
 def _reranked(t):
     dv, qv = _vectors(t)
-    return O.rerank(O.keyword_candidates(M.query_log(t), M.documents(t)), dv, qv)
+    return O.rerank(O.keyword_candidates(M.query_log(t), M.documents(t), index=M.keyword_index(t)), dv, qv)
 
 
 @query("d12_rerank", f"WITH {_RR} SELECT query_id, document_uuid, round(vector_distance, 6) AS vector_distance, semantic_rank FROM rk")
@@ -286,7 +297,7 @@ WITH {_RR}, x AS (SELECT c.query_id, c.document_uuid, coalesce(r.semantic_rank,
 SELECT query_id, document_uuid, sr AS semantic_rank, row_number() OVER (PARTITION BY query_id ORDER BY sr, document_uuid) AS rank FROM x""")
 def d15(t):
     dv, qv = _vectors(t)
-    cands = O.keyword_candidates(M.query_log(t), M.documents(t))
+    cands = O.keyword_candidates(M.query_log(t), M.documents(t), index=M.keyword_index(t))
     r = O.apply_rank(cands, O.rerank(cands, dv, qv).where(c("vector_distance") < 1.0))
     return _rank(r.select("query_id", "document_uuid", c("semantic_rank").cast("bigint").alias("semantic_rank"), "rank"))
 
@@ -385,7 +396,7 @@ k AS (SELECT query_id, h.document_uuid, row_number() OVER (PARTITION BY query_id
 SELECT query_id, document_uuid, 'vector' AS how, rank FROM v WHERE rank <= 10 UNION ALL SELECT query_id, document_uuid, 'keyword', rank FROM k WHERE rank <= 10""")
 def d23(t):
     q = M.query_log(t).join(_vectors(t)[1], "query_id").withColumn("query_embedding", F.when(c("session_id") % 2 == 0, c("query_embedding")))
-    return _rank(O.quick_search(q, M.documents(t, embeddings=True), 10))
+    return _rank(O.quick_search(q, M.documents(t, embeddings=True), 10, M.keyword_index(t, O.QUICK_WEIGHTS, "quick")))
 
 
 @query("d24_attach_embeddings", f"""

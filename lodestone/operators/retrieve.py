@@ -1,8 +1,8 @@
-"""Retrieval: keyword postings, vectors, filters, merges and related sets.
+"""Retrieval: keywords, vectors, filters, merges and related sets.
 
 Keyword retrieval needs every query token in the document. Only the rarest
-token of a query is joined with the postings; the others are checked on the
-surviving pairs. Distinct token sets are searched once, however often asked.
+token of a query reads its blocks of the index; the others are probed for the
+documents found. Distinct token sets are searched once, however often asked.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import index as IX
 from lodestone.operators import vocab as V
 from lodestone.operators.facets import lookup
+from lodestone.operators.index import postings  # noqa: F401
 from lodestone.operators.windows import top_k
 from lodestone.rules import scoring as R
 from lodestone.session import materialize
@@ -27,69 +29,37 @@ BROWSE_LIST = 100
 
 # ---- keyword retrieval --------------------------------------------------------------
 
-def postings(docs: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
-    """(token, document_uuid, weight): summed weight of the fields holding the token."""
-    weights = weights or R.SEARCH_FIELD_WEIGHTS
-    kinds = dict(docs.dtypes)
-
-    def entry(f: str, w: int) -> Column:
-        text = F.array_join(f, " ") if kinds[f].startswith("array") else F.col(f)
-        return F.transform(X.match_tokens(text), lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
-
-    return (docs.select("document_uuid", F.explode(F.concat(*[entry(f, w) for f, w in weights.items()])).alias("e"))
-            .groupBy("e.token", "document_uuid").agg(F.sum("e.w").alias("weight")))
-
-
 def query_tokens(queries: DataFrame) -> DataFrame:
     """(query_id, tokens, token_key): ordered distinct tokens; the key names the token set."""
     return (queries.select("query_id", X.match_tokens(F.col("query")).alias("tokens"))
             .withColumn("token_key", F.array_join(F.array_sort("tokens"), " ")))
 
 
-def search_sets(sets: DataFrame, post: DataFrame, variants: DataFrame | None = None) -> DataFrame:
-    """(token_key, document_uuid, text_match): documents holding all tokens of each set.
-
-    ``variants`` (token, alt) lets an index token stand for a query token.
-    """
-    s = sets.select("token_key", F.split("token_key", " ").alias("ts")).where(F.col("token_key") != "").distinct()
-    toks = s.select("token_key", F.size("ts").alias("need"), F.explode("ts").alias("token"))
-    if variants is None:
-        alt = toks.select("token").distinct().withColumn("alt", F.col("token"))
-    else:
-        alt = variants.unionByName(toks.select("token").distinct().withColumn("alt", F.col("token"))).distinct()
-    size = post.groupBy(F.col("token").alias("alt")).agg(F.count("*").alias("df"))
-    cost = alt.join(size, "alt").groupBy("token").agg(F.sum("df").alias("df"))
-    rare = (toks.join(cost, "token").groupBy("token_key", "need")
-            .agg(F.count("*").alias("known"), F.min_by("token", F.struct("df", "token")).alias("token"))
-            .where(F.col("known") == F.col("need")).select("token_key", "token"))
-    p = post.withColumnRenamed("token", "alt")
-    seed = rare.join(alt, "token").join(p.select("alt", "document_uuid"), "alt").select("token_key", "document_uuid").distinct()
-    pairs = seed.join(toks, "token_key").join(alt, "token")
-    hit = (pairs.join(p, ["document_uuid", "alt"]).groupBy("token_key", "document_uuid", "token", "need")
-           .agg(F.max("weight").alias("w")))
-    return (hit.groupBy("token_key", "document_uuid", "need").agg(F.sum("w").alias("text_match"), F.count("*").alias("got"))
-            .where(F.col("got") == F.col("need")).select("token_key", "document_uuid", "text_match"))
-
-
 def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int | None = None, num_typos: int = 0,
-                       drop_tokens: int | str | None = None, post: DataFrame | None = None, browse: int = BROWSE_LIST) -> DataFrame:
+                       drop_tokens: int | str | None = None, post: DataFrame | None = None, browse: int = BROWSE_LIST, index: IX.KeywordIndex | None = None,
+                       fields: bool = False) -> DataFrame:
     """(query_id, document_uuid, text_match, candidate_rank): all documents of each query, or its best k.
 
     Order: summed weight, authority, id. A query without tokens takes the
     ``browse`` documents of highest authority. ``drop_tokens`` is the number of hits below
     which trailing tokens are dropped, or a column of ``queries`` that holds it; ``num_typos`` allows one edit per token.
+    ``index`` is a built index of ``docs``; without one it is made for this call, from ``post`` if given.
+    With ``fields`` each row also has the bits of the fields that hold its tokens.
     """
-    # the index is read three times, so it is written once
-    post = materialize(postings(docs) if post is None else post, "postings")
-    q = query_tokens(queries)
+    index = IX.build(docs, post=post) if index is None else index
+    q = materialize(query_tokens(queries), "query-tokens")
     variants = None
     if num_typos:
         asked = q.select(F.explode("tokens").alias("word")).distinct()
-        near = V.near_terms(asked, post.select(F.col("token").alias("term")), 1)
+        near = V.near_terms(asked, index.heads.select(F.col("token").alias("term")), 1)
         variants = near.select(F.col("word").alias("token"), F.col("term").alias("alt"))
     auth = docs.select("document_uuid", F.col("authority_rank_score").alias("_a"))
     order = [F.desc("text_match"), F.desc("_a"), F.asc("document_uuid")]
-    hits = search_sets(q, post, variants)
+    if k is not None and not num_typos and not drop_tokens:
+        hits = IX.best_hits(q, index, k)
+    else:
+        hits = materialize(IX.all_hits(q, index, variants), "hits") if drop_tokens else IX.all_hits(q, index, variants)
+    hits = hits.withColumnRenamed("authority", "_a")
     least = F.lit(drop_tokens) if isinstance(drop_tokens, int) else F.lit(0) if drop_tokens is None else F.col("least")
     keys = q.select("query_id", "token_key", "tokens")
     if isinstance(drop_tokens, str):
@@ -101,22 +71,22 @@ def keyword_candidates(queries: DataFrame, docs: DataFrame, k: int | None = None
         few = keys.where(F.size("tokens") > 1).join(n, "token_key", "left").where(F.coalesce("n", F.lit(0)) < least)
         heads = few.select("query_id", *held, F.posexplode(F.transform(
             F.sequence(F.lit(1), F.size("tokens") - 1), lambda m: F.array_join(F.array_sort(F.slice("tokens", 1, m)), " "))).alias("m", "token_key"))
-        more = search_sets(heads.select("token_key").distinct(), post, variants)
+        more = IX.all_hits(heads, index, variants).withColumnRenamed("authority", "_a")
         cnt = more.groupBy("token_key").agg(F.count("*").alias("n"))
         level = (heads.join(cnt, "token_key").withColumn("ok", F.col("n") >= least).groupBy("query_id")
                  .agg(F.max_by("token_key", F.struct("ok", F.when(F.col("ok"), F.col("m")).otherwise(-F.col("m")))).alias("token_key")))
         kept = keys.join(level.select("query_id"), "query_id", "left_anti").select("query_id", "token_key")
-        best = top_k(more.join(auth, "document_uuid"), ["token_key"], order, k)
-        full = top_k(hits.join(auth, "document_uuid"), ["token_key"], order, k)
+        best = top_k(more, ["token_key"], order, k)
+        full = top_k(hits, ["token_key"], order, k)
         rows = kept.join(full, "token_key").unionByName(level.join(best, "token_key"))
     else:
-        full = top_k(hits.join(auth, "document_uuid"), ["token_key"], order, k)
-        rows = keys.select("query_id", "token_key").join(full, "token_key")
+        rows = keys.select("query_id", "token_key").join(hits, "token_key")
     # queries without a token share one list of at most ``browse`` rows
     star = keys.where(F.col("token_key") == "").select("query_id", F.lit(1).alias("_one"))
-    head = auth.orderBy(F.desc("_a"), F.asc("document_uuid")).limit(browse).withColumns({"_one": F.lit(1), "text_match": F.lit(0).cast("bigint")})
+    head = auth.orderBy(F.desc("_a"), F.asc("document_uuid")).limit(browse).withColumns(
+        {"_one": F.lit(1), "text_match": F.lit(0).cast("bigint"), "fields": F.array().cast("array<int>")})
     rows = rows.drop("token_key").unionByName(star.join(F.broadcast(head), "_one").drop("_one"))
-    return top_k(rows, ["query_id"], order, k, rank="candidate_rank").drop("_a")
+    return top_k(rows if fields else rows.drop("fields"), ["query_id"], order, k, rank="candidate_rank").drop("_a")
 
 
 # --- fixed values: what a candidate carries on to scoring and display
@@ -418,14 +388,18 @@ def answer_set(clicks: DataFrame, docs: DataFrame, k_subject: int = 20, k_cluste
     return one.select("seed_id", "document_uuid", "m.source", "m.r")
 
 
-def quick_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Nearest vectors where the query has one, keywords of title and facts otherwise."""
+#: Fields of the quick keyword look-up.
+QUICK_WEIGHTS = {"document_title": 2, "key_facts": 1}
+
+
+def quick_search(queries: DataFrame, docs: DataFrame, k: int, index: IX.KeywordIndex | None = None) -> DataFrame:
+    """Nearest vectors where the query has one, keywords of title and facts otherwise; ``index`` was built with ``QUICK_WEIGHTS``."""
     vec = queries.where(F.col("query_embedding").isNotNull())
     near = vector_topk(vec.select(F.col("query_id").alias("qid"), F.col("query_embedding").alias("qvec")),
                        docs.select(F.col("document_uuid").alias("iid"), F.col("embedding").alias("ivec")), k)
     a = near.select(F.col("qid").alias("query_id"), F.col("iid").alias("document_uuid"), F.lit("vector").alias("how"), "rank")
-    post = postings(docs, {"document_title": 2, "key_facts": 1})
-    b = keyword_candidates(queries.where(F.col("query_embedding").isNull()), docs, k, post=post).select(
+    index = IX.build(docs, QUICK_WEIGHTS) if index is None else index
+    b = keyword_candidates(queries.where(F.col("query_embedding").isNull()), docs, k, index=index).select(
         "query_id", "document_uuid", F.lit("keyword").alias("how"), F.col("candidate_rank").alias("rank"))
     return a.unionByName(b)
 

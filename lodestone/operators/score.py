@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators.facets import lookup
+from lodestone.operators.index import FIELD_BITS
 from lodestone.rules import scoring as R
 
 
@@ -58,6 +59,17 @@ def authority(df: DataFrame) -> Column:
     return F.when((dtype == "media") & (media > 0), F.least(media / 5, F.lit(1.0))).otherwise(out)
 
 
+_SCORED = ["document_uuid", "document_data_type", "document_category", "document_schema", "primary_subject_name", "primary_subject_type", "primary_subject_confidence",
+           "richness", "auth_score"]
+_MAY_HAVE = ("content_intent", "service_type", "black_owned")
+
+
+def document_scores(docs: DataFrame) -> DataFrame:
+    """The query-independent scores of every document, without its token sets."""
+    d = docs.withColumn("n_facts", F.size("key_facts"))
+    return d.withColumns({"richness": richness(d), "auth_score": authority(d)}).select(*_SCORED, *[c for c in _MAY_HAVE if c in docs.columns])
+
+
 def document_features(docs: DataFrame) -> DataFrame:
     """Token sets of every scored field and the query-independent scores, once per document."""
     def toks(f: str) -> Column:
@@ -74,10 +86,8 @@ def document_features(docs: DataFrame) -> DataFrame:
                        "l_keywords": F.transform("primary_keywords", F.lower)})
     d = d.withColumns({"richness": richness(d), "auth_score": authority(d),
                        "t_mixed": F.array_distinct(F.flatten(F.array(*["t_" + f for f in R.MIXED_FIELDS])))})
-    return d.select("document_uuid", "document_data_type", "document_category", "document_schema", "primary_subject_name",
-                    "primary_subject_type", "primary_subject_confidence", "richness", "auth_score", "t_subject", "t_secondary",
-                    "t_mixed", "l_subject", "l_secondary", "l_title", "l_entities", "l_keywords", *["t_" + f for f in R.FIELD_WEIGHTS],
-                    *[c for c in ("content_intent", "service_type", "black_owned") if c in docs.columns])
+    return d.select(*_SCORED, "t_subject", "t_secondary", "t_mixed", "l_subject", "l_secondary", "l_title", "l_entities", "l_keywords",
+                    *["t_" + f for f in R.FIELD_WEIGHTS], *[c for c in _MAY_HAVE if c in docs.columns])
 
 
 def subject_match(tokens: Column, phrases: Column, question_word: Column) -> Column:
@@ -88,21 +98,26 @@ def subject_match(tokens: Column, phrases: Column, question_word: Column) -> Col
     subject = F.col("l_subject")
     primary = F.arrays_overlap("t_subject", tokens) | ((subject != "") & in_phrases(subject))
     secondary = F.arrays_overlap("t_secondary", tokens) | F.exists("l_secondary", lambda s: in_phrases(s))
+    table = F.create_map(*[x for k, v in R.QUESTION_SUBJECT_TYPES.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    aligned = F.coalesce(F.array_contains(F.try_element_at(table, F.lower(question_word)), F.upper("primary_subject_type")), F.lit(False))
+    return _subject((F.size(tokens) == 0) & (F.size(phrases) == 0), primary, secondary, F.arrays_overlap("t_mixed", tokens), aligned)
+
+
+def _subject(no_query: Column, primary: Column, secondary: Column, mixed: Column, aligned: Column) -> Column:
+    """Multiplier and reason from where the query's words stand; ``aligned``: the subject is of the asked type."""
     conf = F.upper(F.coalesce("primary_subject_confidence", F.lit("")))
     mult = F.when(conf == "HIGH", R.SUBJECT_HIGH).when(conf == "LOW", R.SUBJECT_LOW).otherwise(R.SUBJECT_MEDIUM)
     why = F.when(conf == "HIGH", "primary_high").when(conf == "MEDIUM", "primary_medium").when(conf == "LOW", "primary_low") \
         .otherwise("primary_unknown_conf")
-    table = F.create_map(*[x for k, v in R.QUESTION_SUBJECT_TYPES.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
-    aligned = F.coalesce(F.array_contains(F.try_element_at(table, F.lower(question_word)), F.upper("primary_subject_type")), F.lit(False))
 
     def out(m: Column, r: Column) -> Column:
         return F.struct(m.cast("double").alias("multiplier"), r.alias("reason"))
 
-    return (F.when((F.size(tokens) == 0) & (F.size(phrases) == 0), out(F.lit(1.0), F.lit("neutral_no_query")))
+    return (F.when(no_query, out(F.lit(1.0), F.lit("neutral_no_query")))
             .when(primary, out(mult * F.when(aligned, R.SUBJECT_TYPE_BOOST).otherwise(1.0),
                                F.concat(why, F.when(aligned, "+type_match").otherwise(""))))
             .when(secondary, out(F.lit(R.SUBJECT_SECONDARY), F.lit("secondary")))
-            .when(F.arrays_overlap("t_mixed", tokens), out(F.lit(R.SUBJECT_MENTION_ONLY), F.lit("no_subject_match_penalty")))
+            .when(mixed, out(F.lit(R.SUBJECT_MENTION_ONLY), F.lit("no_subject_match_penalty")))
             .otherwise(out(F.lit(1.0), F.lit("neutral"))))
 
 
@@ -112,14 +127,36 @@ def text_score(df: DataFrame) -> DataFrame:
     Needs the document features and q_tokens, q_phrases, q_keywords,
     question_word, candidate_rank (from 0), pool_size.
     """
-    t, n = F.col("q_tokens"), F.size("q_tokens")
-    total = sum(R.FIELD_WEIGHTS.values())
-    overlap = _add([F.size(F.array_intersect(t, F.col("t_" + f))) / n * w for f, w in R.FIELD_WEIGHTS.items()]) / total
+    t = F.col("q_tokens")
+    held = {f: F.size(F.array_intersect(t, F.col("t_" + f))) for f in R.FIELD_WEIGHTS}
     hits = F.size(F.filter("q_phrases", lambda p: F.col("l_title").contains(p) | F.col("l_entities").contains(p)))
-    place = F.col("candidate_rank") / F.greatest("pool_size", F.lit(1))
     kw = F.size(F.array_intersect("l_keywords", "q_keywords"))
+    return _text_score(df, held, hits, kw, subject_match(t, F.col("q_phrases"), F.coalesce("question_word", F.lit(""))))
+
+
+def text_score_by_fields(df: DataFrame) -> DataFrame:
+    """``text_score`` of a query without phrases, whose candidates hold all its tokens and say in which fields.
+
+    Needs the scores of the documents and q_tokens, fields (of the index),
+    candidate_rank (from 0), pool_size; no token set of a document is read.
+    """
+    def among(*names: str) -> Column:
+        bits = sum(FIELD_BITS[f] for f in names)
+        return F.size(F.filter("fields", lambda m: m.bitwiseAND(F.lit(bits)) != 0))
+
+    found = {"primary": among("primary_subject_name") > 0, "secondary": among("secondary_subjects") > 0, "mixed": among(*R.MIXED_FIELDS) > 0}
+    none = F.size("q_tokens") == 0
+    return _text_score(df, {f: among(f) for f in R.FIELD_WEIGHTS}, F.lit(0), F.lit(0), _subject(none, **found, aligned=F.lit(False)))
+
+
+def _text_score(df: DataFrame, held: dict[str, Column], hits: Column, kw: Column, subject: Column) -> DataFrame:
+    """``held``: how many query tokens each field has; ``hits``, ``kw``: phrases and keywords found."""
+    n = F.size("q_tokens")
+    total = sum(R.FIELD_WEIGHTS.values())
+    overlap = _add([held[f] / n * w for f, w in R.FIELD_WEIGHTS.items()]) / total
+    place = F.col("candidate_rank") / F.greatest("pool_size", F.lit(1))
     one = F.lit(1.0)
-    d = df.withColumns({"_m": F.when(n > 0, overlap), "_s": subject_match(t, F.col("q_phrases"), F.coalesce("question_word", F.lit("")))})
+    d = df.withColumns({"_m": F.when(n > 0, overlap), "_s": subject})
     d = d.withColumn("field_overlap", F.coalesce("_m", F.lit(0.0)))
     m = F.least(F.col("_m") + F.least(hits * 0.15, F.lit(0.30)), one)
     m = F.least(m + (1 - place) * 0.05, one)

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import index as IX
 from lodestone.rules import fixed as R
+from lodestone.sources.built import built
 from lodestone.sources.tables import Tables
 
 SENTENCE = r"[.\n]+"
@@ -59,6 +61,11 @@ def documents(t: Tables, embeddings: bool = False) -> DataFrame:
     return d
 
 
+def keyword_index(t: Tables, weights: dict[str, int] | None = None, name: str = "keyword") -> IX.KeywordIndex:
+    """The stored index of the collection over the given fields; built by the first who asks for it."""
+    return IX.build(documents(t), weights, lambda part, make, by: built(t, f"{name}_{part}", ("documents", "labels"), make, by))
+
+
 def query_log(t: Tables) -> DataFrame:
     """One query per sentence of every user turn; the session is the conversation."""
     return (t.conversations.where(F.col("role") == "user")
@@ -118,10 +125,10 @@ def with_place(df: DataFrame, t: Tables) -> DataFrame:
 
 
 def vocabulary_tokens(t: Tables) -> DataFrame:
-    """(term, lang, n): match-token counts per language over whole texts."""
-    return (t.documents
-            .select("lang", F.explode(X.token_list(F.col("text"), R.MATCH_STOPWORDS)).alias("term"))
-            .groupBy("term", "lang").agg(F.count("*").alias("n")))
+    """(term, lang, n): match-token counts per language over whole texts; a stored table."""
+    return built(t, "vocabulary", ("documents",), lambda: (
+        t.documents.select("lang", F.explode(X.token_list(F.col("text"), R.MATCH_STOPWORDS)).alias("term"))
+        .groupBy("term", "lang").agg(F.count("*").alias("n"))), "term")
 
 
 def vocabulary(t: Tables) -> DataFrame:
@@ -139,7 +146,11 @@ def vocabulary_by_category(t: Tables) -> DataFrame:
 
 
 def ngrams(t: Tables, n: int, least: int = 1) -> DataFrame:
-    """Adjacent-token n-grams seen at least ``least`` times."""
+    """Adjacent-token n-grams seen at least ``least`` times; a stored table."""
+    return built(t, f"ngrams_{n}_{least}", ("documents",), lambda: count_ngrams(t, n, least), "term")
+
+
+def count_ngrams(t: Tables, n: int, least: int) -> DataFrame:
     toks = t.documents.select("lang", X.token_list(F.col("text"), R.MATCH_STOPWORDS).alias("tk"))
     grams = F.when(F.size("tk") >= n, F.transform(
         F.sequence(F.lit(1), F.size("tk") - (n - 1)),
