@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import index as IX
+from lodestone.operators import vectors as VX
 from lodestone.operators import vocab as V
 from lodestone.operators.facets import lookup
 from lodestone.operators.index import postings  # noqa: F401
@@ -147,23 +148,20 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int | None, keyed: bool
                 lo: float | None = None, hi: float | None = None) -> DataFrame:
     """(qid, iid, distance, rank): exact k nearest items by cosine distance.
 
-    queries: qid, qvec[, key]; items: iid, ivec[, key]. Both sides are cut into
-    blocks of bounded size; one task multiplies one pair of blocks and returns
-    at most k rows per query, so no pair table exists. With ``keyed`` only
+    queries: qid, qvec[, key]; items: iid, ivec[, key]. With ``keyed`` only
     equal keys meet; the key ``*`` stands for no filter. ``lo``/``hi`` keep
     similarities of that band; without ``k`` all of the band are returned.
+    Items of a large key lie in cells round pivots, and a query meets only the
+    cells that may hold one of its hits; one task multiplies one pair of blocks
+    of bounded size and returns at most k rows a query. A vector of length zero
+    is at distance 1 from every other; null vectors are in no result.
     """
     if not keyed:
         queries, items = queries.withColumn("key", F.lit("*")), items.withColumn("key", F.lit("*"))
     q = queries.select(F.col("qid").cast("string").alias("qid"), "qvec", "key").where(F.col("qvec").isNotNull())
     i = items.select(F.col("iid").cast("string").alias("iid"), "ivec", "key").where(F.col("ivec").isNotNull())
-    # the number of blocks of a key follows from its counts, one row for each key that queries and items share
-    many = (q.groupBy("key").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("_nq"))
-            .join(i.groupBy("key").agg(F.ceil(F.count("*") / ITEM_BLOCK).cast("int").alias("_ni")), "key"))
-    q, i = q.join(many, "key"), i.join(many, "key")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.withColumn("qb", F.pmod(F.hash("qid"), F.col("_nq"))).withColumn("ib", each("_ni")).drop("_nq", "_ni")
-    i = i.withColumn("ib", F.pmod(F.hash("iid"), F.col("_ni"))).withColumn("qb", each("_nq")).drop("_nq", "_ni")
+    # one row for each key that queries and items share
+    sizes = materialize(i.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(q.select("key").distinct(), "key"), "vector-keys")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -195,8 +193,8 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int | None, keyed: bool
         out = pd.DataFrame({"qid": ids_q[rows], "iid": ids_i[cols], "distance": d[rows, cols]})
         return out[np.isfinite(out.distance)]
 
-    part = (q.groupBy("key", "qb", "ib").cogroup(i.groupBy("key", "qb", "ib"))
-            .applyInPandas(best, "qid string, iid string, distance double"))
+    farthest = np.inf if lo is None else 1 - lo
+    part = VX.nearest(q, i, k, sizes, best, QUERY_BLOCK, ITEM_BLOCK, farthest)
     return top_k(part, ["qid"], [F.asc("distance"), F.asc("iid")], k, rank="rank")
 
 
