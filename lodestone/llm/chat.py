@@ -69,7 +69,8 @@ def _parents(messages: DataFrame) -> DataFrame:
     """(node, up, score): one row for each message id; ``up`` is null where no such message is there."""
     one = messages.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("parent", "score")).alias("m")).select("node", "m.parent", "m.score")
     ids = one.select(F.col("node").alias("parent"), F.col("node").alias("up"))
-    return one.join(ids, "parent", "left").select("node", "up", F.coalesce("score", F.lit(0.0)).alias("score"))
+    answers = one.where("parent IS NOT NULL").join(ids, "parent", "left").select("node", "up", "score")  # no null key gathers the roots
+    return answers.unionByName(one.where("parent IS NULL").select("node", F.col("parent").alias("up"), "score")).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
