@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.store import discard, stored
+from lodestone.operators.windows import spread
 
 #: Letters of a run; upper case is lowered in A-Z only.
 RUN = "[A-Za-zÀ-ÿ]"
@@ -85,9 +86,9 @@ def near_pairs(table: DataFrame) -> DataFrame:
     into a row of equal letters may fit several quarters: the one where the
     words first differ counts, or the last one where the shorter word is a
     prefix. Both sides are shuffled by the key, which adaptive execution may
-    split; heads, middles and tails are never stored as whole words besides.
+    split. A word makes twelve keys, so words are dealt out before.
     """
-    table = table.where(F.char_length("word") > 0)
+    table = spread(table.where(F.char_length("word") > 0), "word")
     key = ["chars", "quarter", "head", "tail"]
     a = _keys(table, (0,)).select(*key, F.col("middle").alias("am"), F.col("n").alias("an"))
     b = _keys(table, (0, 1)).select(*key, "longer", F.col("middle").alias("bm"), F.col("n").alias("bn"))
