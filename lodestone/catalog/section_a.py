@@ -193,21 +193,15 @@ def a13(t):
     return O.delete_by_id(t.orders.select("o_orderkey", "o_orderstatus"), gone, "o_orderkey")
 
 
-@query("a14_fetch_by_ids", f"""
-WITH {S.EVENTS}, r AS (SELECT user_id AS qid, k AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev WHERE event_type = 'click')
-SELECT qid, pos, doc_id, lang, n_chars FROM r JOIN documents USING (doc_id)""")
-def a14(t):
-    from pyspark.sql import Window as W
-    r = M.clicks(t).select(c("user_id").alias("qid"), c("k").cast("bigint").alias("doc_id"),
-                           F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("pos"))
-    return O.fetch_by_ids(t.documents.select("doc_id", "lang", "n_chars"), r, "doc_id").select("qid", "pos", "doc_id", "lang", "n_chars")
+# ids spread over all documents
+_FETCH = f"""
+WITH {S.EVENTS}, r AS (SELECT user_id AS qid, event_id // 10 AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev WHERE event_type = 'click')
+SELECT qid, pos, doc_id, lang, n_chars FROM r JOIN documents USING (doc_id)"""
 
 
-# a14 with ids spread over all documents
-@query("a14_fetch_by_ids_all", f"""
-WITH {S.EVENTS}, r AS (SELECT user_id AS qid, event_id // 10 AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev WHERE event_type = 'click')
-SELECT qid, pos, doc_id, lang, n_chars FROM r JOIN documents USING (doc_id)""")
-def a14_all(t):
+@query("a14_fetch_by_ids", _FETCH)
+@query("a14_fetch_by_ids_all", _FETCH)
+def a14(t):
     from pyspark.sql import Window as W
     r = M.clicks(t).select(c("user_id").alias("qid"), F.expr("event_id div 10").alias("doc_id"),
                            F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint").alias("pos"))

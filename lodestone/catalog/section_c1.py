@@ -121,17 +121,6 @@ _TIERS = """cand AS (
 one AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY prefix, term ORDER BY tier, rank DESC, category) = 1)"""
 
 
-@query("c24_suggest", f"""
-WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_PREFIXED}, {_TIERS.format(k=5)},
-used AS (SELECT prefix, string_agg(DISTINCT CASE tier WHEN 1 THEN 'exact' ELSE 'prefix' END, '+' ORDER BY CASE tier WHEN 1 THEN 'exact' ELSE 'prefix' END) AS tiers FROM one GROUP BY 1)
-SELECT prefix, term, category, rank, distance, tier, tiers, row_number() OVER w AS position FROM one JOIN used USING (prefix)
-WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= 5""")
-def c24(t):
-    s = O.suggest(M.typed_prefixes(t), M.vocabulary_by_category(t), 5, fuzzy=False)
-    return s.select("prefix", "term", "category", "rank", c("distance").cast("bigint").alias("distance"),
-                    c("tier").cast("bigint").alias("tier"), "tiers", c("position").cast("bigint").alias("position"))
-
-
 def _fuzzy(k):
     """Suggestions of all three tiers: two(prefix, term, category, rank, distance, tier)."""
     return f"""{_TIERS.format(k=k)},
@@ -144,13 +133,16 @@ two AS (SELECT * FROM (SELECT prefix, term, category, rank, distance, tier FROM
   QUALIFY row_number() OVER (PARTITION BY prefix, term ORDER BY tier, rank DESC, category) = 1)"""
 
 
-# c24 with its third tier
-@query("c24_suggest_fuzzy", f"""
+_SUGGEST = f"""
 WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_PREFIXED}, {_fuzzy(5)},
 used AS (SELECT prefix, concat_ws('+', CASE WHEN bool_or(tier = 1) THEN 'exact' END, CASE WHEN bool_or(tier = 2) THEN 'prefix' END, CASE WHEN bool_or(tier = 3) THEN 'fuzzy' END) AS tiers FROM two GROUP BY 1)
 SELECT prefix, term, category, rank, distance, tier, tiers, row_number() OVER w AS position FROM two JOIN used USING (prefix)
-WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= 5""")
-def c24_fuzzy(t):
+WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= 5"""
+
+
+@query("c24_suggest", _SUGGEST)
+@query("c24_suggest_fuzzy", _SUGGEST)
+def c24(t):
     s = O.suggest(M.typed_prefixes(t), M.vocabulary_by_category(t), 5)
     return s.select("prefix", "term", "category", "rank", c("distance").cast("bigint").alias("distance"),
                     c("tier").cast("bigint").alias("tier"), "tiers", c("position").cast("bigint").alias("position"))
@@ -177,24 +169,7 @@ def c25(t):
 
 
 # one-word prefixes from the log, and the same behind a question word
-@query("c26_autocomplete", f"""
-WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_QP}, {_PREFIXED}, {_TIERS.format(k=10)},
-ta AS (SELECT prefix, 'term' AS kind, term AS text, rank, row_number() OVER w AS position FROM one WHERE length(prefix) >= 2
-  WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= CASE WHEN prefix IN {S.in_list(R.INTERROGATIVES)} THEN 7 ELSE 10 END),
-asks AS (SELECT 'is ' || prefix AS prefix, prefix AS k FROM prefixes
-  UNION ALL SELECT prefix, prefix FROM prefixes WHERE prefix IN {S.in_list(R.INTERROGATIVES)})
-SELECT * FROM ta UNION ALL
-SELECT prefix, 'question', text, length(text), 10 + row_number() OVER w FROM asks JOIN qp ON (prefix = k OR list_contains(tk, 'is')) AND len(list_filter(tk, lambda x: starts_with(x, k))) > 0
-WINDOW w AS (PARTITION BY prefix ORDER BY length(text) DESC, item_id) QUALIFY row_number() OVER w <= 3""")
-def c26(t):
-    p = M.typed_prefixes(t)
-    p = p.unionAll(p.select(F.concat(F.lit("is "), "prefix")))
-    a = O.autocomplete(p, M.vocabulary_by_category(t), M.scored_questions(t), 10, fuzzy=False)
-    return a.withColumn("position", c("position").cast("bigint"))
-
-
-# c26 with the third tier of its terms
-@query("c26_autocomplete_fuzzy", f"""
+_COMPLETE = f"""
 WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_QP}, {_PREFIXED}, {_fuzzy(10)},
 ta AS (SELECT prefix, 'term' AS kind, term AS text, rank, row_number() OVER w AS position FROM two WHERE length(prefix) >= 2
   WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row_number() OVER w <= CASE WHEN prefix IN {S.in_list(R.INTERROGATIVES)} THEN 7 ELSE 10 END),
@@ -202,8 +177,12 @@ asks AS (SELECT 'is ' || prefix AS prefix, prefix AS k FROM prefixes
   UNION ALL SELECT prefix, prefix FROM prefixes WHERE prefix IN {S.in_list(R.INTERROGATIVES)})
 SELECT * FROM ta UNION ALL
 SELECT prefix, 'question', text, length(text), 10 + row_number() OVER w FROM asks JOIN qp ON (prefix = k OR list_contains(tk, 'is')) AND len(list_filter(tk, lambda x: starts_with(x, k))) > 0
-WINDOW w AS (PARTITION BY prefix ORDER BY length(text) DESC, item_id) QUALIFY row_number() OVER w <= 3""")
-def c26_fuzzy(t):
+WINDOW w AS (PARTITION BY prefix ORDER BY length(text) DESC, item_id) QUALIFY row_number() OVER w <= 3"""
+
+
+@query("c26_autocomplete", _COMPLETE)
+@query("c26_autocomplete_fuzzy", _COMPLETE)
+def c26(t):
     p = M.typed_prefixes(t)
     p = p.unionAll(p.select(F.concat(F.lit("is "), "prefix")))
     a = O.autocomplete(p, M.vocabulary_by_category(t), M.scored_questions(t), 10)
@@ -244,29 +223,23 @@ def c29(t):
     return a.unionAll(O.terms_in(v, "er", 20, ngram="bigram").select("term", "category", "rank"))
 
 
-@query("c30_typo_candidates", f"""
-WITH {S.QWORDS}, {S.VOCAB}, w AS (SELECT DISTINCT word FROM qwords WHERE length(word) >= 2), x AS (
-  SELECT word, substring(word, 1, i - 1) || substring(word, i + 1) AS candidate FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
-  UNION SELECT word, substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2)
-  FROM (SELECT word, unnest(range(1, length(word))) AS i FROM w))
-SELECT DISTINCT word, candidate FROM x WHERE candidate IN (SELECT term FROM vocab)""")
-def c30(t):
-    return O.typo_candidates(_words(t), M.vocabulary(t), full=False)
-
-
 _KEYS = S.values([(k, x) for k, v in R.TYPO_NEIGHBOURS.items() for x in v])
 _VOWELS = S.values([(k, x) for k in "aeiou" for x in "aeiou" if x != k])
 
 
-@query("c30_typo_candidates_full", f"""
+_SLIPS = f"""
 WITH {S.QWORDS}, {S.VOCAB}, w AS (SELECT DISTINCT word FROM qwords WHERE length(word) >= 2), spots AS (SELECT word, unnest(range(1, length(word) + 2)) AS i FROM w),
 put(was, new) AS ({_KEYS} UNION {_VOWELS}), letters AS (SELECT chr(CAST(97 + unnest(range(0, 26)) AS INTEGER)) AS l), x AS (
   SELECT word, substring(word, 1, i - 1) || substring(word, i + 1) AS candidate FROM spots WHERE i <= length(word)
   UNION SELECT word, substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2) FROM spots WHERE i < length(word)
   UNION SELECT word, substring(word, 1, i - 1) || new || substring(word, i + 1) FROM spots JOIN put ON was = substring(word, i, 1) WHERE i <= length(word)
   UNION SELECT word, substring(word, 1, i - 1) || l || substring(word, i) FROM spots, letters)
-SELECT DISTINCT word, candidate FROM x WHERE candidate IN (SELECT term FROM vocab)""")
-def c30_full(t):
+SELECT DISTINCT word, candidate FROM x WHERE candidate IN (SELECT term FROM vocab)"""
+
+
+@query("c30_typo_candidates", _SLIPS)
+@query("c30_typo_candidates_full", _SLIPS)
+def c30(t):
     return O.typo_candidates(_words(t), M.vocabulary(t))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.operators.windows import spread, top_k
 from lodestone.rules import language as R
+from lodestone.session import materialize
 
 PREFIX_CHARS = 16  # deletion keys are built on this many leading characters
 
@@ -137,7 +138,7 @@ def validate_words(words: DataFrame, best: DataFrame) -> DataFrame:
 # ---- fuzzy -----------------------------------------------------------------------
 
 def deletion_keys(df: DataFrame, col: str, depth: int) -> DataFrame:
-    """(col, key): the leading characters with none, one or two removed.
+    """(col, key): the leading characters with none, one or two removed, for pairs with swaps.
 
     Two words within that distance share at least one key, so an equi-join on
     keys finds every pair. Positions i < j are exploded and the rest is plain
@@ -155,17 +156,86 @@ def deletion_keys(df: DataFrame, col: str, depth: int) -> DataFrame:
     return d.select(col, F.concat(head, F.substring("_p", i + 1, j - i - 1), F.substring("_p", j + 1, n)).alias("key")).distinct()
 
 
+#: Terms that share a key before the rest of the word joins it.
+HOT_KEY = 1024
+
+
+def _shifts(depth: int) -> list[tuple[int, int, int, int, int]]:
+    """(longer, i, j, p, q): a word longer by ``longer`` than a term may hold segment i moved by p and segment j moved by q.
+
+    The edits before, between and behind the two segments are at least
+    ``|p|``, ``|q - p|`` and ``|longer - q|``.
+    """
+    n, span = depth + 2, range(-depth, depth + 1)
+    return [(d, i, j, p, q) for d in span for i in range(n) for j in range(i + 1, n) for p in span for q in span
+            if abs(p) + abs(q - p) + abs(d - q) <= depth]
+
+
+def _segment_rows(df: DataFrame, col: str, depth: int, moved: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """(col, key, rest): keys of two whole segments, and what lies before, between and behind them.
+
+    The segments are those of a term of the length meant: its own for a term
+    (all moves 0), the word's less ``longer`` for a word.
+    """
+    each = F.explode(F.expr("array(" + ", ".join("named_struct('d', {}, 'i', {}, 'j', {}, 'p', {}, 'q', {})".format(*m) for m in moved) + ")"))
+    c, size = F.col(col), F.col("_l") - F.col("m.d")
+    at = lambda k: F.floor(size * k / (depth + 2)).cast("int")
+    d = df.select(col, F.char_length(col).alias("_l"), each.alias("m")).where(size >= 0)
+    d = d.select(col, "_l", "m", at(F.col("m.i")).alias("a"), at(F.col("m.i") + 1).alias("b"), at(F.col("m.j")).alias("c"), at(F.col("m.j") + 1).alias("e"))
+    d = d.select(col, "_l", "m", *[(F.col(x) + F.col(f"m.{y}")).alias(x) for x, y in (("a", "p"), ("b", "p"), ("c", "q"), ("e", "q"))])
+    d = d.where("a >= 0 AND b <= c AND e <= _l")
+    part = lambda x, y: F.substring(c, F.col(x) + 1, F.col(y) - F.col(x))
+    key = F.xxhash64(F.col("_l") - F.col("m.d"), "m.i", "m.j", part("a", "b"), part("c", "e"))
+    rest = F.concat_ws("\0", F.substring(c, F.lit(1), F.col("a")), part("b", "c"), F.substring(c, F.col("e") + 1, F.col("_l")))
+    return d.select(col, key.alias("key"), rest.alias("rest"))
+
+
+def _without(df: DataFrame, col: str, depth: int) -> DataFrame:
+    """``df`` with ``cut``: ``col`` without up to ``depth`` (1 or 2) of its characters."""
+    n, i, j = F.char_length(col), F.col("_i"), F.col("_j")
+    d = df.withColumn("_i", F.explode(F.sequence(F.lit(0), n)) if depth > 1 else F.lit(0))
+    d = d.withColumn("_j", F.explode(F.when(i == 0, F.sequence(F.lit(0), n)).when(i < n, F.sequence(i + 1, n))))
+    head = F.when(i > 0, F.substring(col, F.lit(1), i - 1)).otherwise("")
+    return d.withColumn("cut", F.concat(head, F.substring(col, i + 1, j - i - 1), F.substring(col, j + 1, n))).drop("_i", "_j")
+
+
+def _met(words: DataFrame, terms: DataFrame, depth: int) -> DataFrame:
+    """(word, term): every pair within ``depth`` edits, perhaps several times, among few others.
+
+    A term is cut into depth + 2 segments, so two of them stand whole in a word
+    within that distance, at most ``depth`` places away. A term gives a key for
+    each two of its segments; a word, of which there are fewer, one for each
+    place where they may stand. Where more than ``HOT_KEY`` terms share a key,
+    what lies outside its segments must agree up to the edits as well: those
+    rows are joined by key and rest without up to ``depth`` characters, so that
+    words with a long part in common do not all meet each other.
+    """
+    w = _segment_rows(spread(words.select("word").distinct(), "word"), "word", depth, _shifts(depth)).distinct()
+    t = _segment_rows(spread(terms.select("term").distinct(), "term"), "term", depth, [m for m in _shifts(depth) if (m[0], m[3], m[4]) == (0, 0, 0)])
+    t = t.join(w.select("key").distinct(), "key", "left_semi")
+    w, t = materialize(w, "word-keys"), materialize(t, "term-keys")
+    hot = t.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY).select("key")
+    plain = w.join(hot, "key", "left_anti").select("key", "word").join(t.select("key", "term"), "key")
+    if hot.isEmpty():
+        return plain.select("word", "term")
+    wh, th = (_without(d.join(hot, "key", "left_semi"), "rest", depth).withColumn("cut", F.xxhash64("key", "cut")) for d in (w, t))
+    return plain.select("word", "term").unionByName(wh.select("cut", "word").distinct().join(th.select("cut", "term").distinct(), "cut").select("word", "term"))
+
+
 def near_terms(words: DataFrame, terms: DataFrame, depth: int = 2, loose: bool = False) -> DataFrame:
     """(word, term, lev): distinct pairs within ``depth`` plain edits.
 
     ``loose`` also keeps pairs that only adjacent swaps bring within the
-    depth (their plain distance is at most twice as large).
+    depth (their plain distance is at most twice as large); a swap may cross
+    the bounds of segments, so these are found by deletion keys.
     """
-    w, t = deletion_keys(words, "word", depth), deletion_keys(terms, "term", depth)
-    lim = 2 * depth if loose else depth
-    lev = F.levenshtein(F.col("word"), F.col("term"), lim)
-    met = w.join(t, "key").where(F.abs(F.length("word") - F.length("term")) <= depth)
-    return (met.select("word", "term", lev.alias("lev")).where(F.col("lev") >= 0).distinct())
+    if loose:
+        met = deletion_keys(words, "word", depth).join(deletion_keys(terms, "term", depth), "key").where(
+            F.abs(F.length("word") - F.length("term")) <= depth)
+    else:
+        met = _met(words, terms, depth)
+    lev = F.levenshtein(F.col("word"), F.col("term"), 2 * depth if loose else depth)
+    return met.select("word", "term", lev.alias("lev")).where(F.col("lev") >= 0).distinct()
 
 
 def swap_distance(word: Column, term: Column, lev: Column) -> Column:
