@@ -193,6 +193,6 @@ f AS (
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * marks > n_words
-            OR 10 * stutter > 3 * n_words OR upper > lower OR 2 * n_dup_lines > n_lines OR (n_words <= 2000 AND 20 * n_distinct < n_words)) AS kept
+            OR 10 * stutter > 3 * n_words OR upper > lower OR 2 * n_dup_lines > n_lines OR 400 * n_distinct * n_distinct < n_words * least(n_words, 2000)) AS kept
 FROM b
 """

@@ -22,3 +22,17 @@ def test_longer_junk_is_never_better():
     for d in (1, 20, 99, 100, 150, 400):
         rejected = [Q.few_distinct_words(Q.Features(" ".join(str(k % d) for k in range(n)))) for n in range(500, 60000, 500)]
         assert rejected == sorted(rejected)
+
+
+def test_statement_and_operator_agree_on_long_junk(spark, tmp_path):
+    import duckdb
+
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    rows = [(k, drawn(n, words[:d], seed=k)) for k, (n, d) in enumerate((n, d) for n in (1500, 2000, 2001, 3000, 9000) for d in (20, 40, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    said = con.execute(f"SELECT doc_id, kept FROM ({Q.SQL})").fetchall()
+    assert dict(said) == {r.doc_id: r.kept for r in Q.judge(docs).collect()}
+    assert not dict(said)[9]  # 3,000 words drawn from 20
