@@ -8,8 +8,9 @@ the document, and gives the probability that a block is main text.
 There are no labelled pages, so the labeller is trained on pages whose mark-up
 tells: blocks inside an article or main element are main text, blocks inside
 navigation, footers, adverts and the like are not. In training the names of
-these elements vary at random and foreign prose is put into boilerplate, so that
-the labeller learns the names and the context rather than one page layout.
+these elements vary at random or are taken away, and foreign prose is put into
+boilerplate, so that the labeller learns the names, the texts and the context
+rather than one page layout.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ HIDDEN = 12
 TRAIN_PAGES = 192
 TRAIN_BLOCKS = 120
 #: Steps of training; the fewer pages, the more often each is seen.
-STEPS = 120
+STEPS = 200
 BATCH = 32
 PAGES_AT_ONCE = 256
 #: Blocks (padding included) that are labelled at once.
@@ -166,24 +167,37 @@ def told(path: tuple[str, ...]) -> bool:
     return not _MAIN.isdisjoint(path) and _BOILER.isdisjoint(path)
 
 
+def nameless(rng: random.Random) -> tuple[str, ...]:
+    """A part of a page whose mark-up says nothing: a plain division, or one with a class word of its own."""
+    tag = rng.choice(["div", "div", "div", "section", "td"])
+    return (tag,) if rng.random() < 0.5 else (tag, f".{rng.choice('bcdfgklmnprstvz')}{rng.randrange(1 << 20):x}")
+
+
 def varied(page: list[Block], prose: list[str], rng: random.Random) -> tuple[list[Block], list[bool]]:
-    """A page for training with other names for its parts, and with prose put into boilerplate at random places."""
-    name = rng.choice([("article",), ("main",), ("div", rng.choice(MAIN[2:])), ("section", rng.choice(MAIN[2:])), ("main", "article")])
+    """A page for training with other names for its parts, and with prose put into boilerplate at random places.
+
+    On half of the pages the main text has no telling name, on half the
+    boilerplate of the page has none; there only texts and neighbours tell.
+    """
+    bare, hidden = rng.random() < 0.5, rng.random() < 0.5
+    name = nameless(rng) if bare else rng.choice([("article",), ("main",), ("div", rng.choice(MAIN[2:])), ("section", rng.choice(MAIN[2:])), ("main", "article")])
     top = ("html", "body")
 
-    def boiler(inside: bool) -> tuple[str, ...]:
+    def boiler(inside: bool, hidden: bool = False) -> tuple[str, ...]:
+        if hidden:
+            return top + name * inside + nameless(rng)
         b = rng.choice(BOILERPLATE)
         return top + name * inside + ((rng.choice(["div", "div", "section", "ul"]), b) if b[0] == "." else (b,))
 
-    blocks, labels, wrap = [], [], boiler(False)
+    blocks, labels, wrap = [], [], boiler(False, hidden)
     for k, b in enumerate(page):
         main = told(b.path)
         if k == 0 or main != labels[-1]:
-            wrap = boiler(rng.random() < 0.2)
+            wrap = boiler(rng.random() < 0.2, hidden)
         tail = b.path[-1:] if b.path and b.path[-1] in ("p", "li", "h1", "h2", "h3", "blockquote", "td") else ()
         blocks.append(b._replace(path=(top + name if main else wrap) + tail))
         labels.append(main)
-        if prose and rng.random() < 0.06:
+        if prose and rng.random() < 0.06:  # prose of another page can only be told by a name
             extra = boiler(main and rng.random() < 0.5)
             for _ in range(rng.randint(1, 3)):
                 blocks.append(Block(extra + rng.choice([("p",), ("p",), ("li",), ()]), rng.choice(prose), 0))
@@ -191,12 +205,21 @@ def varied(page: list[Block], prose: list[str], rng: random.Random) -> tuple[lis
     return blocks, labels
 
 
-def train_on(pages: list[list[Block]], steps: int = STEPS, seed: int = 5) -> Labeller:
-    """Labeller fitted to pages in which the mark-up tells some main text; untrained if there is none."""
-    pages = [p[:TRAIN_BLOCKS] for p in pages if any(told(b.path) for b in p[:TRAIN_BLOCKS])]
+def window(page: list[Block]) -> list[Block]:
+    """``TRAIN_BLOCKS`` blocks of a page, the first main block in their middle if there are enough on both sides."""
+    first = next(k for k, b in enumerate(page) if told(b.path))
+    at = max(0, min(first - TRAIN_BLOCKS // 2, len(page) - TRAIN_BLOCKS))
+    return page[at:at + TRAIN_BLOCKS]
+
+
+def train_on(pages: list[list[Block]], steps: int = STEPS, seed: int = 5) -> Labeller | None:
+    """Labeller fitted to pages in which the mark-up tells some main text; None if there is none to learn from."""
+    pages = [window(p) for p in pages if any(told(b.path) for b in p)]
+    if not pages:
+        return None
     rng, model, state = random.Random(seed), Labeller(), {}
     prose = [b.text for p in pages for b in p if told(b.path)][:2000]
-    epochs = -(-steps // -(-len(pages) // BATCH)) if pages else 0
+    epochs = -(-steps // -(-len(pages) // BATCH))
     for epoch in range(epochs):
         rng.shuffle(pages)
         for k in range(0, len(pages), BATCH):
@@ -209,12 +232,12 @@ def train_on(pages: list[list[Block]], steps: int = STEPS, seed: int = 5) -> Lab
     return model
 
 
-def train(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", sample: int = TRAIN_PAGES) -> Labeller:
+def train(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", sample: int = TRAIN_PAGES) -> Labeller | None:
     """Labeller trained on at most ``sample`` pages, those with the smallest hashes of id and address.
 
     A filter on the hash leaves a few times as many, whatever the number of
     pages, and pages with one id and address count once; so the tasks have
-    little to send.
+    little to send. None where none of them tells its main text.
     """
     h = F.xxhash64(F.lit(1), id_col, url_col)
     share = min(1.0, 8 * sample / max(1, pages.count()))
@@ -222,15 +245,18 @@ def train(pages: DataFrame, url_col: str = "url", html_col: str = "html", id_col
     return train_on([parse(r.html) for r in some.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(sample).collect()])
 
 
-def extract(pages: DataFrame, model: Labeller, html_col: str = "html", into: str = "text") -> DataFrame:
+def extract(pages: DataFrame, model: Labeller | None, html_col: str = "html", into: str = "text") -> DataFrame:
     """All rows and columns of ``pages`` with the main text of each in ``into``: its main blocks in page order, joined by \\n.
 
-    A null or empty page, or one without main text, has the empty text. Pages
+    A null or empty page, or one without main text, has the empty text; without
+    a model, which no page could teach, every page has. Pages
     of any length are read whole and labelled as one sequence. Rows are taken by
     themselves; an empty table gives an empty table; a column of ``pages`` named
     as ``into`` is replaced.
     """
     pages = pages.select(*(c for c in pages.columns if c.lower() != into.lower()))
+    if model is None:
+        return pages.withColumn(into, F.lit(""))
     at = pages.columns.index(html_col)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 

@@ -64,3 +64,47 @@ def test_odd_rows(spark, data):
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), model).collect()
     assert [len(r.text) for r in got] == [0, 0, 0, 5 * 400000 - 1]
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string"), H.train_on([])).count() == 0
+
+
+def plain(path):
+    """Every part a division without class words, wrapped as the generator of training pages never does."""
+    parts = ("article", "main", "nav", "aside", "header", "footer", "section", "form", "menu", "dialog")
+    kept = tuple("div" if x in parts else x for x in path if x[0] != ".")
+    return kept[:2] + ("center", "div") + kept[2:]
+
+
+def tables(path):
+    """Parts as cells of a layout table."""
+    parts = ("article", "main", "nav", "aside", "header", "footer", "section", "form", "div")
+    return ("html", "body", "table", "tr") + tuple("td" if x in parts else x for x in path[2:] if x[0] != ".")
+
+
+def unnamed_main(path):
+    """Boilerplate keeps its names, main text has a class word of its own."""
+    return tuple("div" if x in ("article", "main") else ".zq17" if x in H.MAIN else x for x in path)
+
+
+@pytest.mark.parametrize("renamed", [plain, tables, unnamed_main])
+def test_pages_without_telling_names(renamed):
+    import pyarrow.parquet as pq
+    read = lambda sf: [parse(r["html"]) for r in pq.read_table(f"/root/testdata/{sf}/pages.parquet").to_pylist()]
+    seen, pages = read("sf0.001"), read("sf0.01")[100:200]
+    found = main = both = 0
+    for p, got in zip(pages, H.train_on(seen).main_blocks([[b._replace(path=renamed(b.path)) for b in p] for p in pages])):
+        for b, keep in zip(p, got):
+            found, main, both = found + len(b.text) * keep, main + len(b.text) * H.told(b.path), both + len(b.text) * (keep and H.told(b.path))
+    assert both >= 0.9 * main and both >= 0.9 * found
+
+
+def test_training_looks_round_the_first_main_block():
+    page = [H.Block(("html", "body", "nav"), f"m{k}", 2) for k in range(400)] + [H.Block(("html", "body", "article", "p"), "Text here.", 0)] * 300
+    got = H.window(page)
+    assert len(got) == H.TRAIN_BLOCKS and sum(H.told(b.path) for b in got) == H.TRAIN_BLOCKS // 2
+    assert H.window(page[395:410]) == page[395:410]
+    assert H.train_on([page[:400]]) is None
+
+
+def test_without_a_model_texts_are_empty(spark):
+    pages = spark.createDataFrame([(1, "u", "<div>words</div>")], "page_id long, url string, html string")
+    assert H.train(pages) is None
+    assert [r.text for r in H.extract(pages, H.train(pages)).collect()] == [""]
