@@ -17,6 +17,8 @@ from lodestone.llm.store import stored
 BUCKET_BYTES = 16 << 20
 #: Bucket offsets (16 bytes each) are broadcast up to this many buckets, joined by sorting beyond.
 BROADCAST_BUCKETS = 1 << 20
+#: Buckets whose offsets one task adds up; the totals of the runs are added up in one more.
+OFFSET_RUN = 1 << 12
 SEED = 42
 
 
@@ -25,15 +27,25 @@ def scatter_and_permute(rows: DataFrame, buckets: int, seed: int = SEED, tie: li
 
     The row number of the scan salts the hash, so repeated rows spread as well.
     Rows are sorted before they are permuted, and the outcome is written, so a
-    repeated task gives the same order.
+    repeated task gives the same order; another split of the files gives another
+    one. A bucket is a task of its own.
     """
     h = F.xxhash64(F.lit(seed), *(tie or []), F.monotonically_increasing_id())
     dealt = (rows.select(F.struct("*").alias("_row"), h.alias("_h")).withColumn("_bucket", F.pmod(F.xxhash64("_h"), F.lit(buckets)).cast("int"))
-             .repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_h"))
+             .repartitionById(buckets, "_bucket").sortWithinPartitions("_bucket", "_h"))
     held = dealt.groupBy("_bucket").agg(F.collect_list("_row").alias("_rows"))
     return stored(held.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_pos", "_row")), "shuffled")
 
 
+def offsets(counts: DataFrame, run: int = OFFSET_RUN) -> DataFrame:
+    """(_bucket, _start): the rows before each bucket of (_bucket, count), summed in runs of buckets and over the runs."""
+    ahead = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = counts.withColumn("_run", F.floor(F.col("_bucket") / run))
+    runs = c.groupBy("_run").agg(F.sum("count").alias("count")).select("_run", ahead(Window.orderBy("_run")).alias("_ahead"))
+    inside = c.select("_run", "_bucket", ahead(Window.partitionBy("_run").orderBy("_bucket")).alias("_start"))
+    return inside.join(runs, "_run").select("_bucket", (F.col("_start") + F.col("_ahead")).alias("_start"))
+
+
 def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """All rows and columns of ``docs`` with their ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
@@ -48,8 +60,7 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     # at least a bucket for each shuffle partition, so that a small table is not left to a few tasks
     buckets = max(1, -(-total // bucket_bytes), min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     mixed = scatter_and_permute(rows, buckets, seed, [id_col])
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = mixed.groupBy("_bucket").count().select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    starts = offsets(mixed.groupBy("_bucket").count())
     starts = F.broadcast(starts) if buckets <= BROADCAST_BUCKETS else starts
     base, extra = divmod(n, shards)
     g, long_rows = F.col("_start") + F.col("_pos"), extra * (base + 1)

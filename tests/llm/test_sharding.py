@@ -45,3 +45,20 @@ def test_query_columns(spark, data):
     for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
         b = (r.text or "").encode()
         assert (got[r.doc_id].size, got[r.doc_id].text_crc32) == (len(b) + 1, zlib.crc32(b))
+
+
+def test_offsets_add_up_over_runs(spark):
+    counts = spark.createDataFrame([(k, k % 7 + 1) for k in range(100) if k % 13], "_bucket int, count long")
+    got = {r["_bucket"]: r["_start"] for r in S.offsets(counts, 8).collect()}
+    before, want = 0, {}
+    for k in (k for k in range(100) if k % 13):
+        want[k], before = before, before + k % 7 + 1
+    assert got == want
+
+
+def test_every_bucket_is_a_task_of_its_own(spark):
+    rows = spark.range(4000).select("id")
+    dealt = S.scatter_and_permute(rows, 50)
+    from pyspark.sql import functions as F
+    files = dealt.select("_bucket", F.input_file_name().alias("f")).groupBy("f").agg(F.countDistinct("_bucket").alias("n")).collect()
+    assert len(files) == 50 and all(r.n == 1 for r in files)
