@@ -14,6 +14,7 @@ from lodestone.operators import ingest as O
 from lodestone.operators import vocab as V
 from lodestone.session import shared_dir
 from lodestone.sources import mapping as M
+from lodestone.sources import partitions as P
 from lodestone.sources import schemas as SC
 from lodestone.streaming import streams as ST
 
@@ -177,17 +178,45 @@ _UPD = """base AS (SELECT o_orderkey, o_orderstatus, o_totalprice, 1 AS version
   UNION ALL SELECT o_orderkey, 'V', o_totalprice * 3, 3 FROM orders WHERE o_custkey % 9 = 0)"""
 
 
-@query("a12_upsert", f"""
-WITH {_UPD} SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(version AS BIGINT) AS version FROM (SELECT * FROM base UNION ALL SELECT * FROM upd) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) = 1""")
-def a12(t):
+_LAST = f"""
+WITH {_UPD} SELECT o_orderkey, o_orderstatus, o_totalprice, CAST(version AS BIGINT) AS version FROM (SELECT * FROM base UNION ALL SELECT * FROM upd) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY version DESC) = 1"""
+
+
+def _versions(t):
     o = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey")
     def ver(d, s, k, n):
         return d.select("o_orderkey", s.alias("o_orderstatus"), (c("o_totalprice") * k).alias("o_totalprice"), F.lit(n).cast("bigint").alias("version"))
     u = ver(o.where(c("o_custkey") % 3 == 0), F.lit("U"), 2, 2).unionByName(ver(o.where(c("o_custkey") % 9 == 0), F.lit("V"), 3, 3))
-    return O.upsert(ver(o, c("o_orderstatus"), 1, 1), u, "o_orderkey", "version")
+    return ver(o, c("o_orderstatus"), 1, 1), u
+
+
+@query("a12_upsert", _LAST)
+def a12(t):
+    return O.upsert(*_versions(t), "o_orderkey", "version")
+
+
+# the same into a stored table, of which only touched partitions are written anew
+@query("a12_upsert_stored", _LAST)
+def a12_stored(t):
+    base, u = (d.withColumn("part", P.bucket_of("o_orderkey", 16)) for d in _versions(t))
+    table = P.PartitionedTable.create(base, _folder(t, "orders"), "part")
+    table.upsert(u, "o_orderkey", "version")
+    return table.read().drop("part")
+
+
+_KEPT = "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')"
+
+
+# orders in a stored table by month; months without a returned line keep their files
+@query("a13_delete_stored", _KEPT)
+def a13_stored(t):
+    days = t.orders.select("o_orderkey", "o_orderstatus", F.date_trunc("month", "o_orderdate").cast("date").alias("month"))
+    table = P.PartitionedTable.create(days, _folder(t, "orders"), "month")
+    table.delete(t.lineitem.where(c("l_returnflag") == "R").select(c("l_orderkey").alias("o_orderkey")), "o_orderkey")
+    return table.read().drop("month")
 
 
-@query("a13_delete_by_id", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("a13_delete_by_id", _KEPT)
 def a13(t):
     gone = t.lineitem.where(c("l_returnflag") == "R").select(c("l_orderkey").alias("o_orderkey"))
     return O.delete_by_id(t.orders.select("o_orderkey", "o_orderstatus"), gone, "o_orderkey")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestone.catalog import sqlkit as S
 from lodestone.catalog.registry import query
 from lodestone.operators import analytics as O
+from lodestone.session import shared_dir
 from lodestone.sources import mapping as M
+from lodestone.sources.partitions import PartitionedTable
 
 c = F.col
 UNTIL = "2024-01-28"
@@ -253,12 +258,24 @@ def h22(t):
     return a.unionByName(b)
 
 
-@query("h23_retention", f"""
-WITH {S.EVENTS} SELECT event_id, {DAY.format('event_date')} AS event_date FROM ev WHERE event_date >= DATE '{UNTIL}' - 14""")
+_RECENT = f"""
+WITH {S.EVENTS} SELECT event_id, {DAY.format('event_date')} AS event_date FROM ev WHERE event_date >= DATE '{UNTIL}' - 14"""
+
+
+@query("h23_retention", _RECENT)
 def h23(t):
     return O.retain(M.events(t), 14, UNTIL).select("event_id", _day().alias("event_date"))
 
 
+# a stored log by day: days before the retention are dropped, no row of them is read
+@query("h23_retention_stored", _RECENT)
+def h23_stored(t):
+    log = M.events(t).select("event_id", "user_id", "event_type", "event_date")
+    table = PartitionedTable.create(log, f"{shared_dir(t.spark)}/sources/log-{uuid.uuid4().hex}", "event_date")
+    table.retain(datetime.date.fromisoformat(UNTIL) - datetime.timedelta(days=14))
+    return table.read().select("event_id", _day().alias("event_date"))
+
+
 @query("h24_bot_flags", f"""
 WITH {S.EVENTS}, n AS (SELECT user_id, count(*) AS n FROM ev GROUP BY 1)
 SELECT event_id, CASE WHEN value > 0 AND value < 5 THEN 'Typing too fast' WHEN n > 70 THEN 'Excessive requests in session'
