@@ -107,11 +107,21 @@ _PREFIXED = """pm AS (SELECT prefix, term, category, rank FROM prefixes JOIN
   (SELECT term, category, rank, substring(term, 1, unnest(range(1, length(term) + 1))) AS key FROM vc) ON prefix = key)"""
 
 
+# the stored completion lists: a prefix of any length costs at most thirty rows
+@query("c23_build_completions", f"""
+WITH {S.VOCTOK}, {VBYCAT}, k AS (SELECT substring(term, 1, n) AS key, term FROM (SELECT term, unnest(range(1, length(term) + 1)) AS n FROM vc)),
+s AS (SELECT key, count(*) AS n FROM k GROUP BY 1)
+SELECT length(key) AS letters, count(*) AS prefixes, CAST(sum(least(n, 30)) AS BIGINT) AS kept FROM s GROUP BY 1""")
+def c23_build(t):
+    return M.completion_lists(t).groupBy(F.length("key").cast("bigint").alias("letters")).agg(
+        F.count(F.lit(1)).alias("prefixes"), F.sum(F.size("best")).cast("bigint").alias("kept"))
+
+
 @query("c23_prefix_matches", f"""
 WITH {S.PREFIXES}, {S.VOCTOK}, {VBYCAT}, {_PREFIXED}
 SELECT prefix, term, category, rank FROM pm QUALIFY {_RANKED} <= 10""")
 def c23(t):
-    return O.prefix_matches(M.typed_prefixes(t), M.vocabulary_by_category(t), 10).select("prefix", "term", "category", "rank")
+    return O.prefix_matches(M.typed_prefixes(t), M.vocabulary_by_category(t), 10, M.completion_lists(t)).select("prefix", "term", "category", "rank")
 
 
 _TIERS = """cand AS (
@@ -143,7 +153,7 @@ WINDOW w AS (PARTITION BY prefix ORDER BY rank DESC, distance, term) QUALIFY row
 @query("c24_suggest", _SUGGEST)
 @query("c24_suggest_fuzzy", _SUGGEST)
 def c24(t):
-    s = O.suggest(M.typed_prefixes(t), M.vocabulary_by_category(t), 5)
+    s = O.suggest(M.typed_prefixes(t), M.vocabulary_by_category(t), 5, lists=M.completion_lists(t))
     return s.select("prefix", "term", "category", "rank", c("distance").cast("bigint").alias("distance"),
                     c("tier").cast("bigint").alias("tier"), "tiers", c("position").cast("bigint").alias("position"))
 
@@ -185,7 +195,7 @@ WINDOW w AS (PARTITION BY prefix ORDER BY length(text) DESC, item_id) QUALIFY ro
 def c26(t):
     p = M.typed_prefixes(t)
     p = p.unionAll(p.select(F.concat(F.lit("is "), "prefix")))
-    a = O.autocomplete(p, M.vocabulary_by_category(t), M.scored_questions(t), 10)
+    a = O.autocomplete(p, M.vocabulary_by_category(t), M.scored_questions(t), 10, lists=M.completion_lists(t))
     return a.withColumn("position", c("position").cast("bigint"))
 
 
@@ -203,7 +213,7 @@ best AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY prefix ORDER B
 SELECT word, true AS is_valid, NULL AS suggestion, NULL::BIGINT AS distance, NULL::DOUBLE AS match_score, NULL AS tiers FROM w WHERE word IN (SELECT term FROM vc)
 UNION ALL SELECT miss.word, false, term, distance, round(distance - least(rank, {R.MAX_RANK}) / {R.MAX_RANK}, 9), tiers FROM miss LEFT JOIN best USING (prefix)""")
 def c27(t):
-    r = O.check_words(_words(t), M.vocabulary_by_category(t))
+    r = O.check_words(_words(t), M.vocabulary_by_category(t), M.completion_lists(t))
     return r.withColumns({"distance": c("distance").cast("bigint"), "match_score": F.round("match_score", 9)})
 
 

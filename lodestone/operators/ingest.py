@@ -81,8 +81,8 @@ RULES = {"news": NEWS, **{s: DocumentRules(schema=s) for s in ("business", "comm
 URL_FORM = r"^https?://[^\s/?#]+\.[^\s/?#]+([/?#]\S*)?$"
 
 
-def validate_documents(df: DataFrame, rules: DocumentRules | None = None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected with ``errors``): all rules checked in one pass over the rows."""
+def check_documents(df: DataFrame, rules: DocumentRules | None = None, schema: str | None = None) -> DataFrame:
+    """Every row with ``errors``, the rules it breaks, in one pass; a row without one is accepted."""
     r = rules or (RULES[schema] if schema else DocumentRules())
     if r.default_type and "document_data_type" in df.columns:
         df = df.withColumn("document_data_type", F.coalesce(X.blank_null(F.col("document_data_type")), F.lit(r.default_type)))
@@ -119,7 +119,12 @@ def validate_documents(df: DataFrame, rules: DocumentRules | None = None, schema
             rule(f"{f} not allowed", (F.coalesce(F.col(f), F.lit("")) != "") & ~F.col(f).isin(vals))
     if r.schema and "document_schema" in have:
         rule(f"document_schema must be {r.schema}", F.col("document_schema") != r.schema)
-    d = df.withColumn("errors", F.array_compact(F.array(*bad)))
+    return df.withColumn("errors", F.array_compact(F.array(*bad)))
+
+
+def validate_documents(df: DataFrame, rules: DocumentRules | None = None, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with ``errors``), for callers that send the two different ways; each is a pass of its own."""
+    d, r = check_documents(df, rules, schema), rules or (RULES[schema] if schema else DocumentRules())
     ok = d.where(F.size("errors") == 0).drop("errors")
     return (ok.withColumn("document_schema", F.lit(r.schema)) if r.schema else ok), d.where(F.size("errors") > 0)
 
@@ -152,13 +157,12 @@ def prune_empty(df: DataFrame) -> DataFrame:
     return df.select(*[clean(n, t).alias(n) for n, t in df.dtypes])
 
 
-def import_report(ok: DataFrame, rejected: DataFrame, keys: list[str]) -> DataFrame:
-    """Received, validated, imported, failed and the status per batch key."""
-    u = ok.select(*keys, F.lit(1).alias("ok")).unionByName(rejected.select(*keys, F.lit(0).alias("ok")))
-    good, n = F.sum("ok"), F.count("*")
+def import_report(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Received, validated, imported, failed and the status per batch key, from rows with their ``errors``."""
+    good, n = F.count_if(F.size("errors") == 0), F.count("*")
     status = F.when(good == n, "created").when(good > 0, "partial").otherwise("bad request")
-    return u.groupBy(*keys).agg(n.alias("total_received"), good.alias("validated"), good.alias("imported"), (n - good).alias("failed"),
-                                status.alias("status"))
+    return checked.groupBy(*keys).agg(n.alias("total_received"), good.alias("validated"), good.alias("imported"), (n - good).alias("failed"),
+                                      status.alias("status"))
 
 
 # ---- table changes ------------------------------------------------------------------------

@@ -275,13 +275,37 @@ def exact_matches(prefixes: DataFrame, vocab: DataFrame) -> DataFrame:
         W.partitionBy("prefix").orderBy(F.desc("rank"), F.asc("category"))))
 
 
-def prefix_matches(prefixes: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
+#: Rows that a stored completion list keeps: three for each of the ten that a page offers.
+COMPLETIONS = 30
+
+
+def completions(vocab: DataFrame, k: int = COMPLETIONS, within: str | None = None) -> DataFrame:
+    """([within, ]key, best): the k highest-ranked rows of every prefix, best first; a table to store, bucketed by ``key``.
+
+    Every term offers its prefixes, and each map task keeps k rows of a prefix,
+    so a prefix of one letter costs no more than others. ``within`` makes a list
+    for each value of that column besides the prefix.
+    """
+    keys = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))
+    by = [*([within] if within else []), "key"]
+    t = vocab.where(F.length("term") > 0).withColumn("key", F.explode(keys))
+    best = top_k(t, by, [F.desc("rank"), F.asc("term"), F.asc("category")], k, rank="_at")
+    row = F.struct("_at", *vocab.columns)
+    return best.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("best"))
+
+
+def prefix_matches(prefixes: DataFrame, vocab: DataFrame, k: int, lists: DataFrame | None = None) -> DataFrame:
     """The k highest-ranked terms starting with each prefix.
 
-    Every term offers its own prefixes; only typed ones survive the semi-join
-    and each keeps k rows before the final join.
+    ``lists`` are the stored ``completions`` of ``vocab``, of at least k rows
+    each: one equality join. Without them every term offers its own prefixes;
+    only typed ones survive the semi-join and each keeps k rows before the
+    final join.
     """
     asked = prefixes.select("prefix").distinct().select("prefix", F.lower(X.strip(F.col("prefix"))).alias("key")).where(F.col("key") != "")
+    if lists is not None:
+        met = asked.join(lists, "key").select("prefix", F.explode(F.slice("best", 1, k)).alias("t"))
+        return met.select("prefix", *[F.col(f"t.{c}").alias(c) for c in vocab.columns])
     keys = F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring(F.col("term"), F.lit(1), i))
     t = vocab.where(F.length("term") > 0).withColumn("key", F.explode(keys))
     t = t.join(asked.select("key").distinct(), "key", "left_semi")
@@ -289,8 +313,8 @@ def prefix_matches(prefixes: DataFrame, vocab: DataFrame, k: int) -> DataFrame:
     return asked.join(best, "key").drop("key")
 
 
-def suggest(prefixes: DataFrame, vocab: DataFrame, k: int, fuzzy: bool = True, max_distance: int = 2) -> DataFrame:
-    """Exact, then prefix, then (only when short) fuzzy terms of each typed text.
+def suggest(prefixes: DataFrame, vocab: DataFrame, k: int, fuzzy: bool = True, max_distance: int = 2, lists: DataFrame | None = None) -> DataFrame:
+    """Exact, then prefix, then (only when short) fuzzy terms of each typed text; ``lists`` as in ``prefix_matches``.
 
     One row per suggested term, best rank first; ``tiers`` names the tiers used.
     """
@@ -298,7 +322,7 @@ def suggest(prefixes: DataFrame, vocab: DataFrame, k: int, fuzzy: bool = True, m
     cols = ["prefix", "term", "category", "rank", "pos", "distance", "tier"]
     ex = exact_matches(asked, vocab).withColumns({"distance": F.lit(0), "tier": F.lit(1)}).select(cols)
     size = F.length("term") - F.length(X.strip(F.col("prefix")))
-    pre = prefix_matches(asked, vocab, 3 * k).withColumns({"distance": size, "tier": F.lit(2)}).select(cols)
+    pre = prefix_matches(asked, vocab, 3 * k, lists).withColumns({"distance": size, "tier": F.lit(2)}).select(cols)
 
     def one_per_term(df: DataFrame) -> DataFrame:
         row = F.struct("category", "rank", "pos", "distance", "tier")
@@ -341,23 +365,23 @@ def question_matches(prefixes: DataFrame, questions: DataFrame, k: int) -> DataF
     return top_k(full_rows, ["prefix"], [F.desc("question_score"), F.asc("question_key")], k, rank="position")
 
 
-def autocomplete(prefixes: DataFrame, vocab: DataFrame, questions: DataFrame, k: int = 10, fuzzy: bool = True) -> DataFrame:
+def autocomplete(prefixes: DataFrame, vocab: DataFrame, questions: DataFrame, k: int = 10, fuzzy: bool = True, lists: DataFrame | None = None) -> DataFrame:
     """Terms first; a question start reserves three slots for questions."""
     p = prefixes.select("prefix").distinct().where(F.length(X.strip(F.col("prefix"))) >= 2)
     asks = F.split(F.lower(X.strip(F.col("prefix"))), r"\s+")[0].isin(R.INTERROGATIVES)
-    terms = suggest(p, vocab, k, fuzzy).where(F.when(asks, F.col("position") <= k - 3).otherwise(True))
+    terms = suggest(p, vocab, k, fuzzy, lists=lists).where(F.when(asks, F.col("position") <= k - 3).otherwise(True))
     qs = question_matches(p.where(asks), questions, 3)
     return (terms.select("prefix", F.lit("term").alias("kind"), F.col("term").alias("text"), "rank", "position")
             .unionByName(qs.select("prefix", F.lit("question").alias("kind"), F.col("question").alias("text"),
                                    F.col("question_score").alias("rank"), (F.col("position") + k).alias("position"))))
 
 
-def check_words(words: DataFrame, vocab: DataFrame) -> DataFrame:
+def check_words(words: DataFrame, vocab: DataFrame, lists: DataFrame | None = None) -> DataFrame:
     """Each distinct word: valid, or its best suggestion with distance, score and tiers."""
     w = words.select("word").distinct()
     known = w.join(vocab.select(F.col("term").alias("word")).distinct(), "word", "left_semi")
     miss = w.join(known, "word", "left_anti").withColumnRenamed("word", "prefix")
-    s = suggest(miss, vocab, 1).select("prefix", F.col("term").alias("suggestion"), "distance", "match_score", "tiers")
+    s = suggest(miss, vocab, 1, lists=lists).select("prefix", F.col("term").alias("suggestion"), "distance", "match_score", "tiers")
     bad = miss.join(s, "prefix", "left").select(F.col("prefix").alias("word"), F.lit(False).alias("is_valid"),
                                                 "suggestion", "distance", "match_score", "tiers")
     none = F.lit(None)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import index as IX
+from lodestone.operators import vocab as V
 from lodestone.rules import fixed as R
 from lodestone.sources.built import built
 from lodestone.sources.tables import Tables
@@ -145,6 +146,11 @@ def vocabulary_by_category(t: Tables) -> DataFrame:
                                        F.lit("noun").alias("pos"))
 
 
+def completion_lists(t: Tables) -> DataFrame:
+    """The best terms of every prefix of the vocabulary by category; a stored table."""
+    return built(t, "completions", ("documents",), lambda: V.completions(vocabulary_by_category(t)), "key")
+
+
 def ngrams(t: Tables, n: int, least: int = 1) -> DataFrame:
     """Adjacent-token n-grams seen at least ``least`` times; a stored table."""
     return built(t, f"ngrams_{n}_{least}", ("documents",), lambda: count_ngrams(t, n, least), "term")
