@@ -15,8 +15,7 @@ def redact(t):
 def brute(rows):
     rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
     rows = [(i, t) for i, _, _, t in test_line_dedup.brute(rows)]
-    fps = {i: test_simhash.brute_fp(t) for i, t in rows}
-    comp = test_simhash.brute_components(fps)
+    comp = test_simhash.brute_wide_components(dict(rows))
     return [(i, redact(t)) for i, t in rows if comp[i] == i]
 
 

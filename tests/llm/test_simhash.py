@@ -106,3 +106,93 @@ def test_components_of_chain_star_and_ring(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long"), "a", "b").collect()}
     want = {k: 0 for k in range(51)} | {k: 100 for k in range(100, 160)} | {k: 200 for k in range(200, 209)}
     assert got == want
+
+
+WORDS = 8
+
+
+def brute_wide(text, words=WORDS):
+    """All bits of the wide fingerprint as one number, hash by hash."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\x1c", "\x00")
+    w = [x for x in low.replace("\x0b", " ").replace("\x0c", " ").replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") if x]
+    grams = [] if not w else [" ".join(w)] if len(w) < 5 else [" ".join(w[k:k + 5]) for k in range(len(w) - 4)]
+    out, m = 0, 2**64 - 1
+    for k in range(1, words + 1):
+        hs = []
+        for g in grams:
+            h = (xxhash.xxh64(g.replace("\x00", "\x1c").encode(), 42).intdigest() + k * 0x9E3779B97F4A7C15) & m
+            h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & m
+            h = ((h ^ h >> 27) * 0x94D049BB133111EB) & m
+            hs.append(h ^ h >> 31)
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) << 64 * (k - 1)
+    return out
+
+
+def brute_wide_components(texts, limit=None):
+    """id -> smallest id reached by pairs whose wide fingerprints differ in at most ``limit`` bits."""
+    limit = S.most_bits(0.8, WORDS) if limit is None else limit
+    fps = {i: brute_wide(t) for i, t in texts.items()}
+    comp, changed = {i: i for i in fps}, True
+    links = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= limit]
+    while changed:
+        changed = False
+        for a, b in links:
+            if comp[a] != comp[b]:
+                comp[a] = comp[b] = min(comp[a], comp[b])
+                changed = True
+    return comp
+
+
+@pytest.mark.parametrize("text", TEXTS + ["a b c d e f g A B", "q " * 600 + "r s t u v"])
+def test_wide_fingerprint(text):
+    got = S.wide_fingerprint(None if text is None else text.encode(), WORDS)
+    assert sum(int(x) << 64 * k for k, x in enumerate(got)) == brute_wide(text)
+
+
+def edited(rng, words, rate, vocab):
+    return [vocab[int(rng.integers(len(vocab)))] if rng.random() < rate else w for w in words]
+
+
+def similarity(a, b):
+    a, b = ({tuple(x[k:k + 5]) for k in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_of_known_similarity(spark):
+    """Of pairs of similarity 0.8 and more at least nine in ten lose one text, of unrelated texts and those below 0.6 none."""
+    rng = np.random.default_rng(8)
+    vocab = [f"word{k}" for k in range(3000)]
+    pairs = []
+    for k in range(240):
+        a = [vocab[int(x)] for x in rng.integers(0, len(vocab), int(rng.integers(60, 500)))]
+        pairs.append((a, edited(rng, a, 0.002 * (k % 40), vocab)))
+    rows = [(2 * k + j, " ".join(p[j])) for k, p in enumerate(pairs) for j in (0, 1)]
+    kept = {r.doc_id for r in S.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, words=WORDS).collect()}
+    assert all(2 * k in kept for k in range(len(pairs)))
+    sim = {2 * k + 1: similarity(*p) for k, p in enumerate(pairs)}
+    near, far = [i for i, s in sim.items() if s >= 0.8], [i for i, s in sim.items() if s < 0.6]
+    assert len(near) > 40 and len(far) > 40
+    assert sum(i not in kept for i in near) >= 0.9 * len(near) and all(i in kept for i in far)
+
+
+@pytest.mark.parametrize("block", [8, 512])
+def test_wide_groups_against_brute_force(spark, block):
+    """A dense group of near copies, chains of edits, copies, texts without words; clashing names and hot keys in blocks."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{k}" for k in range(400)]
+    centre = [vocab[int(x)] for x in rng.integers(0, 400, 300)]
+    texts = [" ".join(edited(rng, centre, 0.004, vocab)) for _ in range(60)]
+    step = [vocab[int(x)] for x in rng.integers(0, 400, 200)]
+    for _ in range(12):
+        step = edited(rng, step, 0.008, vocab)
+        texts.append(" ".join(step))
+    texts += [None, "", " \n", "one", "ONE", "one two", texts[3], texts[3].upper()]
+    rows = [(k, t, "x", 1) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows + [(3, texts[3], "again", None)], "doc_id long, text string, w0 string, fp int")
+    got = {r.doc_id for r in S.one_of_each_group(df, shingle=5, words=WORDS, block=block).collect()}
+    comp = brute_wide_components(dict(enumerate(texts)))
+    assert got == {k for k in comp if comp[k] == k}
+
+
+def test_wide_empty_table(spark):
+    assert S.one_of_each_group(spark.createDataFrame([], "doc_id long, text string"), words=WORDS).count() == 0
