@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from lodestone.llm import language, line_dedup, packing, pii, simhash
 from lodestone.llm.store import free_names, stored
 
+#: Fingerprints of 64 bits in which near copies are looked for.
+NEAR_COPY_WORDS = 8
+
 
 def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
     """The given columns with a new text and its length."""
@@ -32,24 +35,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier document holds."""
+    """Takes out lines that an earlier document holds.
+
+    A null text becomes the empty text. Rows that share an id are one document,
+    a null id counts as the largest. An empty table gives an empty table.
+    """
     return _with_text(line_dedup.dedup_lines(docs), docs.columns, F.col("text"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id."""
-    return simhash.one_of_each_group(docs)
+    """Keeps one document of each group of near copies, the one with the smallest id.
+
+    Near copies have a similarity of 0.8 or more in shingles of five words.
+    All texts without a word are copies of one another. A null id comes last;
+    of rows that repeat id and text one stays. An empty table gives an empty
+    table.
+    """
+    return simhash.one_of_each_group(docs, shingle=5, words=NEAR_COPY_WORDS, similarity=0.8)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in brackets in the place of personal data."""
+    """Puts the kind in brackets in the place of personal data; a text without any, null or empty, stays. Every row stays."""
     (into,) = free_names(docs, "_pii")
     found = pii.find(docs, into=into)
     return _with_text(found.withColumn("text", pii.redacted(F.col("text"), F.col(into))), docs.columns, F.col("text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 2048 tokens."""
+    """Pieces of documents with their places in sequences of 2048 tokens; a null or empty text is its end token. Rows that repeat are packed as often."""
     return packing.pack(docs)
 
 
