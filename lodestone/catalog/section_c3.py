@@ -167,7 +167,7 @@ e AS (SELECT query_id, term AS text, rank FROM awords JOIN vocab ON word = term
 SELECT query_id, string_agg(text, '|' ORDER BY rank DESC, text) AS entities FROM e GROUP BY 1""")
 def c44(t):
     w = _words(t).withColumn("pos_tag", F.when(c("category") == "US City", "proper_noun").otherwise(c("pos_tag")))
-    ng = U.detect_ngrams(w, M.named_ngrams(t, 2).unionByName(M.named_ngrams(t, 3)))
+    ng = U.detect_ngrams(w, [M.named_ngrams(t, 2), M.named_ngrams(t, 3)])
     s = O.signals(w, M.asked_queries(t), ng).where(F.size("detected_entities") > 0)
     return s.select("query_id", F.array_join("detected_entities", "|").alias("entities"))
 
@@ -271,7 +271,7 @@ x AS (SELECT query_id, 0 AS part, -n AS size, pos, gram AS t FROM ng UNION ALL S
 SELECT query_id, string_agg(t, ' ' ORDER BY part, size, pos) AS boosted FROM x GROUP BY 1""")
 def c54(t):
     w = _words(t)
-    ng = U.detect_ngrams(w, M.named_ngrams(t, 2).unionByName(M.named_ngrams(t, 3)))
+    ng = U.detect_ngrams(w, [M.named_ngrams(t, 2), M.named_ngrams(t, 3)])
     return P.boosted_query(w, ng).select("query_id", "boosted")
 
 
