@@ -207,8 +207,7 @@ pr AS (SELECT s.query_id, any_value(s.query_mode) AS query_mode, CAST(coalesce(s
 
 
 def _no_ngrams(t):
-    return M.named_ngrams(t, 2).select(F.lit("").alias("query_id"), F.lit(2).alias("n"), F.lit(0).alias("pos"), c("term").alias("gram"),
-                                       "category", "rank").where(F.lit(False))
+    return t.spark.createDataFrame([], "query_id string, n int, pos int, gram string, category string, rank bigint")
 
 
 def _profile(t, ngrams=None):

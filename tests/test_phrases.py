@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from lodestone.catalog import section_c3
 from lodestone.operators import understand as U
 from lodestone.operators import vocab as V
 from lodestone.sources import mapping as M
@@ -62,3 +63,9 @@ def test_stored_tables_of_phrases_stay_where_they_lie(spark, tables):
     plan = known._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     for side in plan.split("FileScan")[1:]:
         assert "ngrams" in side and "Bucketed: true" in side
+
+
+def test_a_profile_without_phrases_builds_no_table(tables, monkeypatch):
+    monkeypatch.setattr(M, "built", lambda *a, **k: pytest.fail("a table was built"))
+    assert section_c3._no_ngrams(tables).columns == ["query_id", "n", "pos", "gram", "category", "rank"]
+    assert section_c3._no_ngrams(tables).count() == 0
