@@ -8,6 +8,7 @@ same rows give the same result.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,8 +79,8 @@ def _in_order(frames: Iterator[pd.DataFrame], rows: int | None = None) -> Iterat
     Beyond ``rows`` events (``RUN_ROWS``) sorted runs go to local disk and are
     merged in blocks, so a key of any size needs the memory of one run.
     """
-    rows, held, n, runs = rows or RUN_ROWS, [], 0, []
-    with tempfile.TemporaryDirectory(prefix="lodestone-run-") as folder:
+    rows, held, n, runs, folder = rows or RUN_ROWS, [], 0, [], None
+    with contextlib.ExitStack() as made:  # most keys need no folder
         for d in frames:
             part = np.empty(len(d), dtype=[("ms", "i8"), ("id", "i8"), ("kind", "i1")])
             part["ms"] = d.ts.astype("datetime64[ms]").astype("int64")
@@ -87,12 +88,16 @@ def _in_order(frames: Iterator[pd.DataFrame], rows: int | None = None) -> Iterat
             part["kind"] = d.kind if "kind" in d else 0
             held, n = [*held, part], n + len(part)
             if n >= rows:
+                folder = folder or made.enter_context(tempfile.TemporaryDirectory(prefix="lodestone-run-"))
                 np.save(f"{folder}/{len(runs)}.npy", _sorted(np.concatenate(held)))
                 runs.append(np.load(f"{folder}/{len(runs)}.npy", mmap_mode="r"))
                 held, n = [], 0
         if n:
             runs.append(_sorted(np.concatenate(held)))
         del held
+        if len(runs) == 1 and not folder:
+            yield runs[0]
+            return
         if runs:
             yield from _merged(runs, rows)
 
