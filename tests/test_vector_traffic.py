@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.operators import index as IX
 from lodestone.operators import retrieve as RT
 from lodestone.operators import vectors as VX
 
@@ -70,3 +72,29 @@ def test_a_cell_just_over_a_block_has_few_rings(spark):
     _, cells = VX.in_cells(items, sizes, VX.pivots(rng.normal(size=(50, 4)), 1), 300)
     n = [r.n for r in cells.collect()]
     assert sum(n) == 400 and 1 < len(n) < VX.RINGS
+
+
+def test_a_vector_of_many_queries_is_searched_once(spark, monkeypatch):
+    asked = []
+    search = RT.vector_topk
+    monkeypatch.setattr(RT, "vector_topk", lambda q, *x, **y: asked.append(q.count()) or search(q, *x, **y))
+    docs = spark.createDataFrame([("a", "Red house. Blue door", 5.0, [1.0, 0.0]), ("b", "Green tree", 4.0, [0.5, 0.5]), ("c", "Red door", 3.0, [0.0, 1.0])],
+                                 "document_uuid string, document_title string, authority_rank_score double, embedding array<float>")
+    docs = docs.withColumn("key_facts", F.array("document_title"))
+    # q3 comes twice with the same vector, q1 and q2 share one
+    q = spark.createDataFrame([("q1", "x", [1.0, 0.1]), ("q2", "y", [1.0, 0.1]), ("q3", "z", [0.0, 1.0]), ("q3", "z", [0.0, 1.0]), ("q4", "red", None)],
+                              "query_id string, query string, query_embedding array<float>")
+    got = RT.quick_search(q, docs, 2)
+    assert sorted((r.query_id, r.document_uuid, r.how, r["rank"]) for r in got.collect()) == [
+        ("q1", "a", "vector", 1), ("q1", "b", "vector", 2), ("q2", "a", "vector", 1), ("q2", "b", "vector", 2),
+        ("q3", "c", "vector", 1), ("q3", "c", "vector", 2), ("q4", "a", "keyword", 1), ("q4", "c", "keyword", 2)]
+    assert asked == [2]
+
+
+def test_a_quick_index_reads_its_own_fields_alone(spark):
+    docs = spark.createDataFrame([("a", "Red house", "Red house. A blue door", 5.0)], "document_uuid string, document_title string, document_summary string, authority_rank_score double")
+    docs = docs.withColumn("key_facts", F.array("document_title"))
+    own = IX.postings(docs, RT.QUICK_WEIGHTS, bits=())
+    assert "document_summary" not in own._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    cols = ["token", "document_uuid", "weight", "authority"]
+    assert sorted(own.select(cols).collect()) == sorted(IX.postings(docs, RT.QUICK_WEIGHTS).select(cols).collect())
