@@ -1,7 +1,7 @@
 """Query understanding over a whole query log: grammar, correction, n-grams, filters.
 
 Input words are (query_id, pos, word) with the pass-1 columns of
-``vocab.validate_words``. A query is capped at 500 characters, so windows and
+``vocab.validate_words``. A query is one sentence, read whole, so windows and
 arrays keyed by query are small; the log itself spreads over queries.
 """
 
