@@ -84,8 +84,9 @@ SELECT term, rank + coalesce(n, 0) * 10000 AS rank, last AS last_clicked_at FROM
 def i05(t):
     v = M.vocabulary(t)
     digits = F.lower(F.lpad(F.hex(c("event_id") % 512), 3, "0"))
-    clicks = (M.clicks(t).select((c("user_id") % 10).alias("session_id"), "ts", digits.alias("digits"))
-              .join(v.select("term", F.substring(F.md5("term"), 1, 3).alias("digits")), "digits"))
+    # term by term, so that the clicks of one follow each other
+    clicks = (v.select("term", F.substring(F.md5("term"), 1, 3).alias("digits"))
+              .join(M.clicks(t).select((c("user_id") % 10).alias("session_id"), "ts", digits.alias("digits")), "digits"))
     return O.bump_term_ranks(v, clicks).select("term", "rank", "last_clicked_at")
 
 
