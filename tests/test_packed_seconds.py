@@ -13,7 +13,7 @@ def test_a_batch_gives_a_row_for_each_key_and_span():
     r = random.Random(3)
     rows = [(r.choice(["a", None]), r.randint(-9 << 20, 9 << 20)) for _ in range(500)]
     made = list(WN._packed(iter([pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in rows], pa.string()), "accepted": pa.array([s for _, s in rows], pa.int64())})])))
-    got = [(x["k"], x["_span"] * WN.SPAN + s) for b in made for x in b.to_pylist() for s in np.cumsum(x["_gaps"])]
+    got = [(x["k"], x["_span"] * WN.SPAN + int(s)) for b in made for x in b.to_pylist() for s in np.cumsum(x["_gaps"])]
     assert sorted(map(str, got)) == sorted(map(str, set(rows)))
     assert sum(b.num_rows for b in made) == len({(k, s // WN.SPAN) for k, s in rows}) < 20
 
